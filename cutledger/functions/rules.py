@@ -18,7 +18,7 @@ TOKEN_LIKE = r"^[A-Za-z0-9_-]+$"
 PREFIXED_ID = r"^[A-Za-z]{1,10}_[A-Za-z0-9]{6,}$"
 WORD_PART = r"(^|[-_])[A-Za-z]{3,}([-_]|$)"
 CHARACTER_RUN = r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+"
-SCOPE_QUALIFIER = r"(?i)\b(?:repo|org|user):|\bis:pr\b"
+SCOPE_QUALIFIER = r"(?i)(?<![A-Za-z0-9_])(?:(?:repo|org|user):|is:pr(?![A-Za-z0-9_]))"
 OWNER_SLUG = r"^[A-Za-z0-9-]+$"
 REPO_SLUG = r"^[A-Za-z0-9_.-]+$"
 MAX_SLUG = 100

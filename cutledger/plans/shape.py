@@ -104,6 +104,13 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
     return _fit(fl.decide_fields(plan))
 
 
+def field_decisions(payloads: DataFrame, **options) -> DataFrame:
+    """Fields, constants and field-level cuts per payload, without rendering anything."""
+    found = discover(with_options(payloads, **options))
+    plan = envelope_of(found).drop("record_list", "text").join(profile_of(found, False), KEY, "left")
+    return fl.decide_fields(plan)
+
+
 def _rows(plan: DataFrame) -> DataFrame:
     """Add ``lines``: the rendered rows that could fit, from ``start`` on.
 

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pack(df: DataFrame, group: str, row_key: str, block: int, record: Column, tool: Column | None = None) -> DataFrame:
     """``(payload_id, tool, text)``: records of a group packed by blocks of ``row_key``."""
-    number = F.floor(F.col(row_key) / block).cast("long")
+    number = F.expr(f"`{row_key}` div {block}")
     packed = (
         df.select(F.col(group).cast("string").alias("g"), number.alias("b"), F.struct(F.col(row_key).alias("k"), record.alias("r")).alias("kr"))
         .groupBy("g", "b")
@@ -30,7 +30,7 @@ def pack(df: DataFrame, group: str, row_key: str, block: int, record: Column, to
     return packed.select(
         F.concat_ws("/", "g", "b").alias("payload_id"),
         (F.lit("search") if tool is None else tool).alias("tool"),
-        F.to_json(body).alias("text"),
+        F.to_json(body, {"ignoreNullFields": "false"}).alias("text"),
     )
 
 
