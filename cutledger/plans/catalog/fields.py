@@ -207,14 +207,16 @@ QUERIES = {
         SELECT payload_id, path FROM p CROSS JOIN (VALUES ('doc_id'), ('lang'), ('n_chars')) t(path)
         UNION ALL SELECT payload_id, 'text' FROM docs GROUP BY 1 HAVING sum(length(text)) <= 2000 * count(*)"""),
     "auto_fields_orders": (auto_fields_orders, f"""WITH {ORD}, g AS (SELECT payload_id, count(*) AS n, count(assignee) AS a, count(DISTINCT assignee) AS da,
-          count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p, count(DISTINCT CAST(o_orderdate AS DATE)) AS d,
-          count(DISTINCT round(o_totalprice)) AS t FROM ord GROUP BY 1),
-        f AS (SELECT payload_id, list_filter([CASE WHEN a > 0 THEN 'assignee.login' END, 'html_url', 'labels.name', 'number', 'state', 'title', 'total', 'updated_at', 'user.login'], x -> x IS NOT NULL) AS fields,
-          list_filter([CASE WHEN n >= 3 AND a = n AND da = 1 THEN 'assignee.login' END, CASE WHEN n >= 3 AND s = 1 AND p = 1 THEN 'labels.name' END,
-            CASE WHEN n >= 3 AND s = 1 THEN 'state' END, CASE WHEN n >= 3 AND t = 1 THEN 'total' END, CASE WHEN n >= 3 AND d = 1 THEN 'updated_at' END,
-            CASE WHEN n >= 3 THEN 'user.login' END], x -> x IS NOT NULL) AS constants FROM g)
-        SELECT payload_id, array_to_string(CASE WHEN list_contains(fields, 'assignee.login') THEN list_concat(['assignee.login'], list_filter(fields, x -> x <> 'assignee.login')) ELSE fields END, ',') AS fields,
-          array_to_string(list_filter(fields, x -> NOT list_contains(constants, x)), ',') AS row_fields FROM f"""),
+          count(*) FILTER (rec_idx = 0 AND assignee IS NOT NULL) AS first, count(DISTINCT o_orderstatus) AS s, count(DISTINCT o_orderpriority) AS p,
+          count(DISTINCT CAST(o_orderdate AS DATE)) AS d, count(DISTINCT round(o_totalprice)) AS t FROM ord GROUP BY 1),
+        f AS (SELECT payload_id, unnest([
+            {{'at': CASE WHEN first > 0 THEN 0 ELSE 9 END, 'path': CASE WHEN a > 0 THEN 'assignee.login' END, 'const': n >= 3 AND a = n AND da = 1}},
+            {{'at': 1, 'path': 'html_url', 'const': false}}, {{'at': 2, 'path': 'labels.name', 'const': n >= 3 AND s = 1 AND p = 1}},
+            {{'at': 3, 'path': 'number', 'const': false}}, {{'at': 4, 'path': 'state', 'const': n >= 3 AND s = 1}},
+            {{'at': 5, 'path': 'title', 'const': false}}, {{'at': 6, 'path': 'total', 'const': n >= 3 AND t = 1}},
+            {{'at': 7, 'path': 'updated_at', 'const': n >= 3 AND d = 1}}, {{'at': 8, 'path': 'user.login', 'const': n >= 3}}]) AS x FROM g)
+        SELECT payload_id, string_agg(x.path, ',' ORDER BY x.at) AS fields, string_agg(x.path, ',' ORDER BY x.at) FILTER (NOT x.const) AS row_fields
+        FROM f WHERE x.path IS NOT NULL GROUP BY 1"""),
     "machine_urls": (machine_urls, f"""WITH u AS ({_forms_sql('pages', 'page_id', _URL_FORMS, 'u')}),
         s AS (SELECT *, lower(regexp_extract(u, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM u)
         SELECT page_id, form, regexp_matches(u, '^https?://') AND NOT contains(u, ' ') AND (regexp_matches(host, '^api\\.|\\.api\\.|avatar')

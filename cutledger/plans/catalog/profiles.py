@@ -135,7 +135,7 @@ QUERIES = {
     "shape_stats": (shape_stats, f"""WITH {CONV}, g AS (SELECT payload_id, count(*) AS n, sum(length(text)) > 200 * count(*) AS long,
           count(*) >= 3 AND min(role) = max(role) AS r, count(*) >= 3 AND min(turn) = max(turn) AS t, count(*) >= 3 AND min(text) = max(text) AS x FROM conv GROUP BY 1)
         SELECT payload_id, n AS records, CASE WHEN long THEN 'text' ELSE '' END AS left_out,
-          array_to_string(list_filter([CASE WHEN r THEN 'role' END, CASE WHEN x AND NOT long THEN 'text' END, CASE WHEN t THEN 'turn' END], q -> q IS NOT NULL), ',') AS hoisted, false AS ragged FROM g"""),
+          concat_ws(',', CASE WHEN r THEN 'role' END, CASE WHEN x AND NOT long THEN 'text' END, CASE WHEN t THEN 'turn' END) AS hoisted, false AS ragged FROM g"""),
     "longest_string": (longest_string, f"WITH {DOCS} SELECT payload_id, max(greatest(length(text), length(lang))) AS longest FROM docs GROUP BY 1"),
     "frame_profile": (frame_profile, """WITH g AS (SELECT l_returnflag, count(*) AS n, sum(length(CAST(l_partkey AS VARCHAR)) + 24) AS u, count(*) FILTER (l_tax > 0.04) AS t FROM lineitem GROUP BY 1)
         SELECT l_returnflag, path, v AS n_values, s AS n_strings, CAST(c AS BIGINT) AS string_chars, k AS n_links, r AS n_records, n AS n_total FROM g,
