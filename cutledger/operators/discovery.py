@@ -65,7 +65,7 @@ def explode_records(found: DataFrame, *keep: str) -> DataFrame:
 
 
 def meta_entries() -> str:
-    """SQL for ``array<struct<path, js, value>>``: the values beside the record list at every
+    """SQL for ``array<struct<path, js>>``: the values beside the record list at every
     level of its path, empties dropped. Needs ``root`` and ``record_path``."""
     levels = []
     node = "root"
@@ -75,13 +75,13 @@ def meta_entries() -> str:
         name = f"concat_ws('.', slice(record_path, 1, {i}), {e}.key)"
         levels.append(
             f"CASE WHEN size(record_path) > {i} THEN transform(filter({jw.entries(node)}, {e} -> "
-            f"NOT ({e}.key <=> {step})), {e} -> named_struct('path', {name}, "
-            f"'js', {jw.text(e + '.value')}, 'value', {e}.value)) END"
+            f"NOT ({e}.key <=> {step})), {e} -> named_struct('path', {name}, 'value', {e}.value)) END"
         )
         node = f"element_at(filter({jw.entries(node)}, {f} -> {f}.key = {step}), 1).value"
-    m = jw._fresh("m")
+    m, x = jw._fresh("m"), jw._fresh("x")
     joined = ", ".join(f"coalesce({level}, array())" for level in levels)
-    return f"filter(concat({joined}), {m} -> {m}.js IS NOT NULL)"
+    cleaned = f"transform(concat({joined}), {x} -> named_struct('path', {x}.path, 'js', {jw.text(x + '.value')}))"
+    return f"filter({cleaned}, {m} -> {m}.js IS NOT NULL)"
 
 
 def envelope_meta(found: DataFrame, key: str = "payload_id") -> DataFrame:

@@ -157,7 +157,7 @@ def no_answer(status: Column, error: Column) -> Column:
 def pending_runs(tasks: DataFrame, arms: list[str], reps: int, runs: DataFrame) -> DataFrame:
     """Task × arm × repetition still to run; arms and repetitions are short fixed lists."""
     planned = tasks.select("task", F.explode(F.array(*map(F.lit, arms))).alias("arm")).select(
-        "task", "arm", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).cast("long").alias("rep"))
+        "task", "arm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
     done = runs.where(finished(F.col("status"), F.col("error"))).select("task", "arm", "rep")
     return planned.join(done, ["task", "arm", "rep"], "left_anti")
 
@@ -208,7 +208,7 @@ def wrong_answers(runs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def audit(shaped: DataFrame) -> DataFrame:
-    """One row per broken rule of a shaped payload; empty when all is well."""
+    """``(payload_id, broken ARRAY<string>)``: the rules a shaped payload breaks, ideally none."""
     body = F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("#")))
     cut = F.col("records") - F.col("start") - F.col("shown")
     rules = {
@@ -216,7 +216,7 @@ def audit(shaped: DataFrame) -> DataFrame:
         "row_not_json": F.exists(body, lambda x: F.try_parse_json(x).isNull()),
         "rows_not_shown": F.size(body) != F.col("shown"),
         "cut_not_declared": ~F.col("fallback") & (cut > 0) & ~F.col("text").contains(F.concat(F.lit("# "), cut, F.lit(" records not shown"))),
-        "no_progress": ~F.col("fallback") & (F.col("shown") == 0) & (F.col("start") < F.col("records")) & F.col("cut_cap").isNotNull(),
+        "cap_not_smaller": F.coalesce(F.col("cut_cap") >= F.col("longest"), F.lit(False)),
     }
     broken = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
-    return shaped.where("passthrough IS NULL").select("payload_id", F.explode(broken).alias("rule"))
+    return shaped.where("passthrough IS NULL").select("payload_id", broken.alias("broken"))

@@ -1,0 +1,10 @@
+"""Every registered query with its checking SQL, by name."""
+
+from __future__ import annotations
+
+from cutledger.plans.catalog import budgets, evaluation, fields, parsing, profiles, recovery, sources
+
+CATALOG = {
+    **sources.QUERIES, **parsing.QUERIES, **fields.QUERIES, **profiles.QUERIES,
+    **budgets.QUERIES, **recovery.QUERIES, **evaluation.QUERIES,
+}

@@ -63,11 +63,10 @@ def envelope_of(found: DataFrame) -> DataFrame:
     options = [c for c in found.columns if c.startswith("o_")]
     extra = [c for c in ("aliases",) if c in found.columns]
     n_total = F.coalesce(F.size("record_list"), F.lit(0)).cast("long")
-    metas = f"transform({dc.meta_entries()}, m -> named_struct('path', m.path, 'js', m.js))"
     return dc.passthrough_reason(found).select(
         KEY, "text", "passthrough", "record_list", *options, *extra,
         n_total.alias("n_total"),
-        F.when(F.col("record_list").isNotNull(), F.expr(metas)).alias("meta_list"),
+        F.when(F.col("record_list").isNotNull(), F.expr(dc.meta_entries())).alias("meta_list"),
         F.coalesce("o_label", F.try_element_at("record_path", F.lit(-1)), F.lit("records")).alias("label"),
         F.least(F.greatest("o_offset", F.lit(0)), n_total).alias("start"),
         F.col("o_hint").alias("hint"),
@@ -188,7 +187,7 @@ def _fit(plan: DataFrame) -> DataFrame:
     done = done.withColumn("passthrough", F.when(no_gain, "no_gain").otherwise(F.col("passthrough")))
     done = done.withColumn("out", F.when(F.col("passthrough").isNotNull(), F.col("text")).otherwise(F.col("shaped")))
     empty_list = F.expr("cast(array() AS array<string>)")
-    return done.select(
+    result = F.struct(
         KEY, "passthrough",
         F.col("out").alias("text"),
         F.col("n_total").alias("records"),
@@ -206,6 +205,8 @@ def _fit(plan: DataFrame) -> DataFrame:
         F.expr(_cost("out")).cast("long").alias("output_tokens"),
         F.col("o_budget").alias("budget"),
     )
+    # The generator keeps filters on the result from being rewritten in terms of the rules above.
+    return done.select(F.inline_outer(F.array(result)))
 
 
 def longest_string(v: str, depth: int = jw.MAX_DEPTH) -> str:
