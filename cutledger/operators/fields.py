@@ -42,40 +42,35 @@ def constant_value() -> Column:
     )
 
 
-# SQL over an array ``leaf`` of structs with ``path`` and ``n_values``.
-def _under(item: str, path: str) -> str:
-    return f"({item} = {path} OR startswith({item}, concat({path}, '.')))"
-
-
+NO_PATHS = "cast(array() AS array<string>)"
+# A path is covered when a field is the path itself or one of its prefixes.
+_COVERED = "arrays_overlap(l.prefixes, {fields})"
+_PREFIXES_OF = "array_distinct(flatten(transform(filter(leaf, l -> l.n_values > 0{also}), l -> l.prefixes)))"
+# A left-out path collapses to its shortest prefix that no kept path shares.
 LEFT_OUT = (
-    "CASE WHEN fields IS NULL OR filled IS NULL THEN cast(array() AS array<string>) ELSE array_distinct(transform(filter(filled, p -> "
-    f"NOT exists(fields, f -> {_under('p', 'f')})), "
-    "p -> get(filter(transform(sequence(1, size(split(p, '[.]'))), i -> substring_index(p, '.', i)), "
-    f"q -> NOT exists(filled, k -> {_under('k', 'q')} AND exists(fields, f -> {_under('k', 'f')}))), 0))) END"
+    f"CASE WHEN fields IS NULL OR leaf IS NULL THEN {NO_PATHS} ELSE "
+    f"array_distinct(transform(filter(leaf, l -> l.n_values > 0 AND NOT {_COVERED.format(fields='fields')}), "
+    "l -> get(array_except(l.prefixes, kept_prefixes), 0))) END"
 )
 NOT_IN_DATA = (
-    "CASE WHEN o_mode = 'list' THEN "
-    f"filter(fields, f -> NOT exists(coalesce(filled, array()), p -> {_under('p', 'f')})) ELSE cast(array() AS array<string>) END"
+    f"CASE WHEN o_mode = 'list' THEN array_except(fields, coalesce(filled_prefixes, {NO_PATHS})) ELSE {NO_PATHS} END"
 )
 EMPTY_EVERYWHERE = (
-    "CASE WHEN o_mode = 'list' OR tops IS NULL THEN cast(array() AS array<string>) ELSE "
-    f"filter(tops, t -> NOT exists(filled, p -> {_under('p', 't')})) END"
+    f"CASE WHEN o_mode = 'list' OR tops IS NULL THEN {NO_PATHS} ELSE array_except(tops, filled_prefixes) END"
 )
 # Per record shape, the picked paths with arrays as one leaf; ragged when one shape lacks some.
-_PICKED = (
-    "array_distinct(transform(filter(s, x -> row_fields IS NULL OR "
-    f"exists(row_fields, f -> {_under('x.path', 'f')})), x -> x.apath))"
-)
+_PICKED = "array_distinct(transform(filter(s, x -> row_paths IS NULL OR array_contains(row_paths, x.path)), x -> x.apath))"
 RAGGED = (
-    f"o_mode <> 'list' AND coalesce(size(shapes), 0) > 0 AND array_min(transform(shapes, s -> size({_PICKED}))) < "
-    f"size(array_distinct(flatten(transform(shapes, s -> {_PICKED}))))"
+    "CASE WHEN o_mode = 'list' OR shapes IS NULL OR size(shapes) < 2 THEN false ELSE "
+    f"array_min(transform(shapes, s -> size({_PICKED}))) < "
+    f"size(array_distinct(flatten(transform(shapes, s -> {_PICKED})))) END"
 )
 
 
 def payload_profile(profile: DataFrame, key: str = "payload_id") -> DataFrame:
     """One row per payload: its paths with their numbers, as arrays bounded by that one document."""
     leaf = F.struct(
-        "first_seen", "path", "n_values", "n_strings", "string_chars", "n_links", "n_records",
+        "first_seen", "path", "prefixes", "n_values", "n_strings", "string_chars", "n_links", "n_records",
         "min_vals", "max_vals", "vals_per_record",
     )
     return profile.groupBy(key).agg(
@@ -103,26 +98,31 @@ def decide_fields(plan: DataFrame) -> DataFrame:
     Needs the columns of ``payload_profile``, ``n_total`` and the options ``o_mode``
     (``auto``, ``list`` or ``all``), ``o_fields``, ``o_long_text`` and ``o_hoist``.
     """
+    row_paths = f"transform(filter(leaf, l -> l.n_values > 0 AND {_COVERED.format(fields='row_fields')}), l -> l.path)"
     return (
         plan
         .withColumns({
-            "filled": F.expr("transform(filter(leaf, l -> l.n_values > 0), l -> l.path)"),
+            "filled_prefixes": F.expr(_PREFIXES_OF.format(also="")),
             "fields": F.expr(
                 f"CASE o_mode WHEN 'auto' THEN coalesce(transform(filter(leaf, l -> {_AUTO}), l -> l.path), array()) "
                 "WHEN 'list' THEN o_fields END"),
         })
-        .withColumn("constants", F.expr(
-            f"CASE WHEN o_hoist AND fields IS NOT NULL THEN transform(filter(leaf, l -> {_CONSTANT}), "
-            f"l -> named_struct('path', l.path, 'value', {_CONSTANT_VALUE})) END"))
+        .withColumns({
+            "kept_prefixes": F.expr(_PREFIXES_OF.format(also=f" AND {_COVERED.format(fields='fields')}")),
+            "constants": F.expr(
+                f"CASE WHEN o_hoist AND fields IS NOT NULL THEN transform(filter(leaf, l -> {_CONSTANT}), "
+                f"l -> named_struct('path', l.path, 'value', {_CONSTANT_VALUE})) END"),
+        })
         .withColumn("row_fields", F.expr(
             "CASE WHEN size(constants) > 0 THEN array_except(fields, transform(constants, c -> c.path)) ELSE fields END"))
+        .withColumn("row_paths", F.expr(f"CASE WHEN size(shapes) > 1 AND row_fields IS NOT NULL THEN {row_paths} END"))
         .withColumns({
             "left_out": F.expr(LEFT_OUT),
             "not_in_data": F.expr(NOT_IN_DATA),
             "empty": F.expr(EMPTY_EVERYWHERE),
             "ragged": F.expr(RAGGED),
         })
-        .drop("leaf", "tops", "shapes", "filled")
+        .drop("leaf", "tops", "shapes", "filled_prefixes", "kept_prefixes", "row_paths")
     )
 
 

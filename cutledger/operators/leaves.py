@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cutledger.functions.rules import machine_url
 
@@ -50,11 +50,16 @@ def leaf_values(records: DataFrame, *keys: str, column: str = "rec", max_depth:
     )
 
 
+# All dotted prefixes of a path, shortest first.
+PREFIXES = "transform(sequence(1, size(split(path, '[.]'))), i -> substring_index(path, '.', i))"
+
+
 def record_paths(leaves: DataFrame, key: str = "payload_id", rec: str = "rec_idx") -> DataFrame:
-    """One row per ``(key, rec, path)``: ordered values, counts and the record's own shape.
+    """One row per ``(key, rec, path)``: ordered values, counts and how the record looks.
 
-    ``filled_paths`` and ``first_of_record`` come from a window over one record, so no group
-    here is larger than a record.
+    ``empty_top`` is the top-most path above an empty leaf that holds no value in its record.
+    ``shape`` lists the filled paths of the record, on one of its rows. No group here is larger
+    than a record.
     """
     filled = F.col("js").isNotNull()
     rows = leaves.where("path <> ''").groupBy(key, rec, "path").agg(
@@ -67,19 +72,17 @@ def record_paths(leaves: DataFrame, key: str = "payload_id", rec: str = "rec_idx
         F.array_sort(F.collect_list(F.when(filled, F.struct("ord", "js")))).alias("vals"),
     )
     vals = F.when(F.col("n_values") > 0, F.array_join(F.transform("vals", lambda v: v["js"]), ","))
-    record = W.partitionBy(key, rec)
-    return rows.withColumn("vals", vals).withColumns({
-        "filled_paths": F.collect_list(F.when(F.col("n_values") > 0, F.struct("path", "apath"))).over(record),
-        "first_of_record": F.min("path").over(record) == F.col("path"),
+    path = F.struct("path", "apath", F.expr(PREFIXES).alias("prefixes"), "first_ord", "n_values", "n_strings",
+                    "string_chars", "n_links", vals.alias("vals"))
+    records = rows.groupBy(key, rec).agg(F.collect_list(path).alias("paths")).withColumn(
+        "filled", F.expr("filter(paths, p -> p.n_values > 0)")
+    ).withColumns({
+        "filled_prefixes": F.expr("array_distinct(flatten(transform(filled, p -> p.prefixes)))"),
+        "record_shape": F.expr("array_sort(transform(filled, p -> named_struct('path', p.path, 'apath', p.apath)))"),
     })
-
-
-# The top-most path above an empty leaf that holds no value in its record.
-EMPTY_TOP = (
-    "CASE WHEN n_values = 0 THEN get(filter(transform(sequence(1, size(split(path, '[.]'))), "
-    "i -> substring_index(path, '.', i)), "
-    "p -> NOT exists(filled_paths, f -> f.path = p OR startswith(f.path, concat(p, '.')))), 0) END"
-)
+    one = records.select(key, rec, "filled_prefixes", "record_shape", F.posexplode_outer("paths").alias("i", "p"))
+    top = F.expr("CASE WHEN p.n_values = 0 THEN get(array_except(p.prefixes, filled_prefixes), 0) END")
+    return one.select(key, rec, "p.*", top.alias("empty_top"), F.when(F.col("i") == 0, F.col("record_shape")).alias("shape"))
 
 
 def path_profile(paths: DataFrame, key: str = "payload_id", rec: str = "rec_idx") -> DataFrame:
@@ -87,8 +90,8 @@ def path_profile(paths: DataFrame, key: str = "payload_id", rec: str = "rec_idx"
 
     The grouping keys start with ``key``, so an input partitioned by ``key`` is not shuffled.
     """
-    shape = F.when(F.col("first_of_record"), F.array_sort("filled_paths"))
-    return paths.withColumns({"empty_top": F.expr(EMPTY_TOP), "shape": shape}).groupBy(key, "path").agg(
+    return paths.groupBy(key, "path").agg(
+        F.first("prefixes").alias("prefixes"),
         F.min(F.struct(rec, "first_ord")).alias("first_seen"),
         F.sum("n_values").alias("n_values"),
         F.sum("n_strings").alias("n_strings"),

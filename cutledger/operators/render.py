@@ -19,8 +19,8 @@ def _lit(text: str) -> str:
     return "'" + text.replace("'", "\\'") + "'"
 
 
-def static_notes() -> dict[str, str]:
-    """SQL for the notes that do not depend on how many rows are shown, per squeeze level.
+def static_notes(level: int) -> tuple[str, str]:
+    """SQL for the notes before and after the line about rows not shown, at a squeeze level.
 
     Level 0 is everything, 1 shortens field lists to numbers and drops the ragged hint,
     2 also replaces the count lines by their number.
@@ -31,23 +31,19 @@ def static_notes() -> dict[str, str]:
     )
     absent = f"CASE WHEN size(not_in_data) > 0 THEN concat({_lit(NOT_IN_DATA)}, array_join(not_in_data, ', ')) END"
     aliased = f"CASE WHEN aliased > 0 THEN {_lit(ALIASES)} END"
-    notes = {}
-    for level in (0, 1, 2):
-        short = level >= 1
-        empty = "concat(size(empty), ' fields')" if short else name_fields_sql("empty")
-        left = "concat(size(left_out), ' (list too long for budget)')" if short else name_fields_sql("left_out")
-        ragged = "CAST(NULL AS string)" if short else f"CASE WHEN ragged THEN {_lit(RAGGED)} END"
-        counts = (
-            "CASE WHEN size(count_lines) > 0 THEN concat('# ', size(count_lines), ' count lines left out for budget') END"
-            if level == 2 else "CASE WHEN size(count_lines) > 0 THEN array_join(count_lines, '\\n') END"
-        )
-        before = (
-            f"concat_ws('\\n', {same}, CASE WHEN size(empty) > 0 THEN concat({_lit(EMPTY)}, {empty}) END, {ragged}, "
-            f"CASE WHEN size(left_out) > 0 THEN concat({_lit(LEFT_OUT)}, {left}) END, {absent})"
-        )
-        notes[f"notes_{level}"] = f"nullif({before}, '')"
-        notes[f"tail_{level}"] = f"nullif(concat_ws('\\n', {counts}, {aliased}), '')"
-    return notes
+    short = level >= 1
+    empty = "concat(size(empty), ' fields')" if short else name_fields_sql("empty")
+    left = "concat(size(left_out), ' (list too long for budget)')" if short else name_fields_sql("left_out")
+    ragged = "CAST(NULL AS string)" if short else f"CASE WHEN ragged THEN {_lit(RAGGED)} END"
+    counts = (
+        "CASE WHEN size(count_lines) > 0 THEN concat('# ', size(count_lines), ' count lines left out for budget') END"
+        if level == 2 else "CASE WHEN size(count_lines) > 0 THEN array_join(count_lines, '\\n') END"
+    )
+    before = (
+        f"concat_ws('\\n', {same}, CASE WHEN size(empty) > 0 THEN concat({_lit(EMPTY)}, {empty}) END, {ragged}, "
+        f"CASE WHEN size(left_out) > 0 THEN concat({_lit(LEFT_OUT)}, {left}) END, {absent})"
+    )
+    return f"nullif({before}, '')", f"nullif(concat_ws('\\n', {counts}, {aliased}), '')"
 
 
 def first_line(n: str, with_meta: bool = True) -> str:
@@ -67,14 +63,15 @@ def rest_line(n: str) -> str:
 
 
 def head(n: str, level: int) -> str:
-    return f"concat_ws('\\n', {first_line(n)}, notes_{level}, {rest_line(n)}, tail_{level})"
+    """SQL for everything above the rows. Level 0 uses the columns ``notes_0`` and ``tail_0``."""
+    before, after = ("notes_0", "tail_0") if level == 0 else static_notes(level)
+    return f"concat_ws('\\n', {first_line(n)}, {before}, {rest_line(n)}, {after})"
 
 
-def static_cost(level: int) -> str:
+def static_cost() -> str:
     """Cost of what does not move with the rows shown, line breaks before the notes included."""
     meta = f"CASE WHEN meta <> '' THEN {token_count_sql('meta')} + 1 ELSE 0 END"
-    notes = [f"coalesce({text_cost_sql(c)} + 1, 0)" for c in (f"notes_{level}", f"tail_{level}")]
-    return " + ".join([meta, *notes])
+    return " + ".join([meta, *(f"coalesce({text_cost_sql(c)} + 1, 0)" for c in ("notes_0", "tail_0"))])
 
 
 def moving_cost(n: str) -> str:

@@ -93,7 +93,8 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
     that cannot be handled comes back unchanged with ``passthrough`` set. ``use_counts``
     must be true when ``o_counts`` is given as a column.
     """
-    found = discover(with_options(payloads, **options))
+    # Options are added after the shuffle, so that both branches below reuse the same one.
+    found = with_options(discover(payloads), **options)
     use_counts = bool(options.get("counts")) if use_counts is None else use_counts
     plan = envelope_of(found).join(profile_of(found, use_counts), KEY, "left")
     plan = plan.withColumns({
@@ -105,7 +106,7 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
 
 def field_decisions(payloads: DataFrame, **options) -> DataFrame:
     """Fields, constants and field-level cuts per payload, without rendering anything."""
-    found = discover(with_options(payloads, **options))
+    found = with_options(discover(payloads), **options)
     plan = envelope_of(found).drop("record_list", "text").join(profile_of(found, False), KEY, "left")
     return fl.decide_fields(plan)
 
@@ -133,8 +134,9 @@ def _cost(c: str) -> str:
 def _fit(plan: DataFrame) -> DataFrame:
     """Longest prefix of rows within the budget, then squeeze, cut-to-fit or fallback."""
     rows = _rows(plan)
-    costed = rows.withColumns({k: F.expr(v) for k, v in rd.static_notes().items()}).withColumn(
-        "notes_cost", F.expr(f"CASE WHEN o_budget IS NOT NULL THEN {rd.static_cost(0)} END"))
+    before, after = rd.static_notes(0)
+    costed = rows.withColumns({"notes_0": F.expr(before), "tail_0": F.expr(after)}).withColumn(
+        "notes_cost", F.expr(f"CASE WHEN o_budget IS NOT NULL THEN {rd.static_cost()} END"))
     prefix = (
         "aggregate(transform(lines, l -> named_struct('c', {cost} + 1)), "
         "named_struct('used', notes_cost, 'n', 0L, 'fit', 0L), "
@@ -186,7 +188,7 @@ def _fit(plan: DataFrame) -> DataFrame:
         "passthrough IS NULL AND o_mode = 'all' AND o_budget IS NULL AND start = 0 AND length(shaped) >= length(text)")
     done = done.withColumn("passthrough", F.when(no_gain, "no_gain").otherwise(F.col("passthrough")))
     done = done.withColumn("out", F.when(F.col("passthrough").isNotNull(), F.col("text")).otherwise(F.col("shaped")))
-    empty_list = F.expr("cast(array() AS array<string>)")
+    empty_list = F.expr(fl.NO_PATHS)
     result = F.struct(
         KEY, "passthrough",
         F.col("out").alias("text"),

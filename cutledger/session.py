@@ -13,6 +13,8 @@ SETTINGS = {
     # A payload grows many times when it is walked, so small shuffle blocks are still work.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # Lists are collected per record or document, which stay small, so hashing many is fine.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",
     # Top-k filters prune before the shuffle up to this k, which covers every token budget.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
