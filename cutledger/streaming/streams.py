@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cutledger.operators.ids import alias_candidates, assign_aliases
+from cutledger.operators.recover import validate_recovery
 from cutledger.plans.shape import shape_payloads
 
-SESSION_TTL_MS = 10 * 60 * 1000  # fixed value
+SESSION_TTL_SECONDS = 10 * 60  # fixed value
 
 
 def shape_stream(payloads: DataFrame, path: str, checkpoint: str, **options):
@@ -44,50 +43,28 @@ def alias_stream(values: DataFrame, path: str, checkpoint: str):
     return values.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class Registrations(StatefulProcessor):
-    """Latest registration per session with a time to live; answers recovery requests."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", "ts_us bigint, adapter string, allowed array<string>", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        (session,) = key
-        for frame in rows:
-            out = []
-            for row in frame.sort_values(["ts_us", "is_request"], kind="stable").itertuples():
-                current = self.latest.get() if self.latest.exists() else None
-                if not row.is_request:
-                    self.latest.update((int(row.ts_us), row.adapter, list(row.allowed)))
-                    continue
-                alive = current is not None and current[0] > row.ts_us - self.ttl_ms * 1000
-                reason = None
-                if not alive:
-                    reason = "session not found or expired"
-                elif current[1] != row.adapter:
-                    reason = f"recovery adapter mismatch: expected {current[1]}, got {row.adapter}"
-                else:
-                    outside = next((f for f in row.fields if f not in current[2]), None)
-                    if outside is not None:
-                        reason = f"field '{outside}' is not in the allowed recovery field list"
-                out.append((session, row.request_id, reason))
-            yield pd.DataFrame(out, columns=["session_id", "request_id", "reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def session_stream(events: DataFrame, ttl_ms: int = SESSION_TTL_MS) -> DataFrame:
-    """``(session_id, request_id, reason)`` for requests against registrations of the same stream.
-
-    Input: ``session_id, ts_us, is_request, request_id, adapter, allowed, fields``. State is one
-    row per session, dropped after the time to live. Needs the RocksDB state store.
+def session_stream(events: DataFrame, path: str, checkpoint: str, ttl_seconds: int = SESSION_TTL_SECONDS):
+    """Answer recovery requests against the registrations of the same stream, batch by batch.
+
+    Input: ``session_id, ts, is_request, request_id, adapter, scope, allowed, redacted, fields``.
+    Registrations are kept as a table with one folder per batch; a batch reads only those that
+    can still be alive for its requests, and uses the batch operator for the answers.
     """
-    return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=Registrations(ttl_ms), outputStructType="session_id string, request_id string, reason string",
-        outputMode="Append", timeMode="ProcessingTime")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        columns = ["session_id", "ts", "adapter", "scope", "allowed", "redacted"]
+        fresh = batch.where("NOT is_request").select(*columns)
+        fresh.write.mode("overwrite").parquet(f"{path}/registrations/batch={batch_id}")
+        known = spark.read.schema(fresh.schema.add("batch", T.LongType())).parquet(f"{path}/registrations")
+        requests = batch.where("is_request").select("request_id", "session_id", "ts", "adapter", "scope", "fields")
+        oldest = requests.agg(F.min("ts")).first()[0]
+        alive = known.where(F.col("batch") <= batch_id)
+        if oldest is not None:
+            alive = alive.where(F.col("ts") > F.lit(oldest - timedelta(seconds=ttl_seconds)))
+        answers = validate_recovery(requests, alive.select(*columns), ttl_seconds)
+        answers.write.mode("overwrite").parquet(f"{path}/answers/batch={batch_id}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def trace_events(shaped: DataFrame, tool: str, adapter: str, upstream_total: str = "records") -> DataFrame:
@@ -114,9 +91,3 @@ def savings(calls: DataFrame, *keys: str) -> DataFrame:
 def savings_stream(calls: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Savings per tool and time window; late calls are taken until the watermark passes."""
     return savings(calls.withWatermark("ts", late).withColumn("window", F.window("ts", window)), "window", "tool")
-
-
-def rocksdb(spark: SparkSession) -> None:
-    """Use the state store that the session stream needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

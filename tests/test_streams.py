@@ -31,17 +31,19 @@ def test_alias_stream_over_two_batches_equals_one(spark, tmp_path):
 
 
 def test_session_stream_answers_requests(spark, tmp_path):
-    streams.rocksdb(spark)
-    schema = "session_id string, ts_us bigint, is_request boolean, request_id string, adapter string, allowed array<string>, fields array<string>"
-    minute = 60_000_000
-    rows = [
-        ("s", 0, False, None, "github", ["title"], []), ("s", minute, True, "a", "github", [], ["title"]),
-        ("s", 2 * minute, True, "b", "github", [], ["body"]), ("s", 3 * minute, True, "c", "jira", [], ["title"]),
-        ("s", 11 * minute, True, "d", "github", [], ["title"]), ("t", 0, True, "e", "github", [], ["title"])]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = streams.session_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    out.writeStream.format("memory").queryName("answers").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
-    got = {r.request_id: r.reason for r in spark.table("answers").collect()}
+    schema = "session_id string, minute bigint, is_request boolean, request_id string, adapter string, allowed array<string>, fields array<string>"
+    first = [("s", 0, False, None, "github", ["title"], []), ("s", 1, True, "a", "github", [], ["title"])]
+    second = [
+        ("s", 2, True, "b", "github", [], ["body"]), ("s", 3, True, "c", "jira", [], ["title"]),
+        ("s", 11, True, "d", "github", [], ["title"]), ("t", 0, True, "e", "github", [], ["title"])]
+    for rows in (first, second):
+        df = spark.createDataFrame(rows, schema).selectExpr(
+            "session_id", "timestamp_seconds(1767225600 + minute * 60) AS ts", "is_request", "request_id", "adapter",
+            "map('repo', 'api') AS scope", "allowed", "cast(array() AS array<string>) AS redacted", "fields")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        streams.session_stream(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(60)
+    got = {r.request_id: r.reason for r in spark.read.parquet(str(tmp_path / "out/answers")).collect()}
     assert got == {"a": None, "b": "field 'body' is not in the allowed recovery field list", "c": "recovery adapter mismatch: expected github, got jira",
                    "d": "session not found or expired", "e": "session not found or expired"}
 
