@@ -85,11 +85,11 @@ def first_buckets(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(anchor, hot, th, start, cid, stretch)``: the bytes of all windows that chose a suffix whose bucket is shared.
+    """``(anchor, hot, th, start, windows, place, cid, stretch)``: the bytes of all windows that chose a suffix whose bucket is shared.
 
-    ``cid`` names the stretch's content; a task sends the bytes of a content once.
+    ``place`` is where the chosen suffix starts in it; ``cid`` names the stretch's content, and a task sends the bytes of a content once.
     """
-    out = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("cid", pa.int64()), ("stretch", pa.binary())])
+    out = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("th", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("place", pa.int32()), ("cid", pa.int64()), ("stretch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
@@ -108,10 +108,10 @@ def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
                     starts, ends = first[pick], last[pick] + length - 1
                     cid = hashing.pair(hashing.substrings(prefix, starts, ends), (place[first[pick]] - starts).astype(np.uint64)).view(np.int64)
                     raw = data.tobytes()
-                    for a, b, e, w, c, h in zip(bucket[pick].tolist(), starts.tolist(), ends.tolist(), (last[pick] - starts).tolist(), cid.tolist(), np.isin(bucket[pick], heated).tolist(), strict=True):
+                    for a, b, e, w, o, c, h in zip(bucket[pick].tolist(), starts.tolist(), ends.tolist(), (last[pick] - starts).tolist(), (place[first[pick]] - starts).tolist(), cid.tolist(), np.isin(bucket[pick], heated).tolist(), strict=True):
                         known = c in sent and not h
                         sent.add(c)
-                        for name, v in zip(out.names, (a, h, th, at + b, w, c, None if known else raw[b:e]), strict=True):
+                        for name, v in zip(out.names, (a, h, th, at + b, w, o, c, None if known else raw[b:e]), strict=True):
                             cols[name].append(v)
                     if len(cols["th"]) >= 8 * CHUNK:
                         yield cm.batch(out, cols)
@@ -119,7 +119,7 @@ def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
             yield cm.batch(out, cols)
 
     near = rows.alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return near.select("w.th", "d.text", "w.anchors", "w.hot").mapInArrow(run, "anchor long, hot boolean, th long, start long, windows int, cid long, stretch binary")
+    return near.select("w.th", "d.text", "w.anchors", "w.hot").mapInArrow(run, "anchor long, hot boolean, th long, start long, windows int, place int, cid long, stretch binary")
 
 
 def refine(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
@@ -181,24 +181,30 @@ def refine_buckets(found: DataFrame, length: int, gram: int) -> DataFrame:
     return found.select("anchor", "th", "start", "windows", "cid", "stretch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "th long, start long, stop long")
 
 
-def refine_hot(found: DataFrame, length: int) -> DataFrame:
-    """The same runs for hot buckets, by counting the bytes that ranges of windows have in common and span."""
-    part = lambda a, n: F.xxhash64(F.substring(F.col("stretch"), a + 1, n), n)
-    lo, hi = F.col("lo"), F.col("hi")
-    ranges = found.dropDuplicates(["th", "start"]).select("th", "start", "stretch", F.lit(0).alias("lo"), (F.col("windows") - 1).alias("hi"))
+def refine_hot(found: DataFrame, length: int, gram: int) -> DataFrame:
+    """The same runs for hot buckets, by counting the bytes that ranges of windows have in common and span.
+
+    A window is known by its distance before the chosen suffix, so equal windows lie in equal ranges.
+    """
+    lo, hi, place, windows = (F.col(c) for c in ("lo", "hi", "place", "windows"))
+    part = lambda at, n: F.xxhash64(F.substring(F.col("stretch"), at + 1, n), n)
+    held = (hi >= place - windows + 1) & (lo <= place)
+    covered = (hi <= place) & (lo >= place - windows + 1)
+    keep = ["th", "start", "windows", "place", "stretch"]
+    ranges = found.dropDuplicates(["th", "start"]).select(*keep, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
     done: DataFrame | None = None
     while True:
-        named = cm.saved(ranges.withColumns({"core": part(hi, F.lit(length) - (hi - lo)), "hull": part(lo, F.lit(length) + (hi - lo))}))
+        named = cm.saved(ranges.withColumns({"core": part(place - lo, F.lit(length) - (hi - lo)), "hull": F.when(covered, part(place - hi, F.lit(length) + (hi - lo)))}))
         if named.isEmpty():
             return done if done is not None else named.select("th", "start", F.col("start").alias("stop"))
         shared = named.groupBy("core").count().where("count > 1").select("core")
-        whole = named.groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("all"))
+        whole = named.where("hull IS NOT NULL").groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("all"))
         rated = cm.saved(named.join(shared, "core").join(whole, "hull", "left"))
-        made = rated.where("all").select("th", (F.col("start") + lo).alias("start"), (F.col("start") + hi + 1).alias("stop"))
+        made = rated.where("all").select("th", (F.col("start") + place - hi).alias("start"), (F.col("start") + place - lo + 1).alias("stop"))
         done = made if done is None else done.union(made)
         middle = F.floor((lo + hi) / 2).cast("int")
         halves = F.explode(F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi"))))
-        ranges = rated.where(F.col("all").isNull() & (lo < hi)).select("th", "start", "stretch", halves.alias("r")).select("th", "start", "stretch", "r.lo", "r.hi")
+        ranges = rated.where(F.col("all").isNull() & (lo < hi)).select(*keep, halves.alias("r")).select(*keep, "r.lo", "r.hi").where(held)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -217,7 +223,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         runs = refine_buckets(found, length, gram)
     else:
         found = cm.saved(found)
-        runs = refine_buckets(found.where(~F.col("hot")), length, gram).union(refine_hot(found.where("hot"), length))
+        runs = refine_buckets(found.where(~F.col("hot")), length, gram).union(refine_hot(found.where("hot"), length, gram))
     gathered = runs.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
     return cm.saved(texts.select("th", "copies").join(gathered, "th", "left").where("copies > 1 OR runs IS NOT NULL"))
 
