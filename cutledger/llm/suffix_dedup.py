@@ -10,8 +10,9 @@ found once serve all later steps, and a suffix alone in its bucket is dropped. T
   windows whose chosen suffix is not alone are looked at further.
 * Such windows are sent, as one stretch of bytes for each chosen suffix, to the task of its bucket and
   refined there by sorting.
-* Buckets of more than ``HOT`` stretches are refined by counting instead: a range of windows is dropped if
-  the bytes common to all of them are unique, kept if their hull is repeated, and halved otherwise.
+* Buckets of more than ``HOT`` stretches are refined by counting instead, so no task holds one: a range of
+  windows is dropped if the bytes common to all of them are unique, kept if their hull is repeated, and halved
+  otherwise.
 
 Equal texts are handled once, with the number of their copies. Identifiers have 64 bits. Defined cases: null
 text counts as empty; texts shorter than ``LENGTH`` lose nothing; matches never cross rows; a repeated
@@ -31,8 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 from cutledger.llm import common as cm, hashing
 from cutledger.llm.jaccard_join import keyed
 
-LENGTH, GRAM, HOT = 400, 100, 4096
-SEGMENT, CHUNK = 1 << 22, 4096
+LENGTH, GRAM = 400, 100
+#: Stretches one task sorts together at most, some hundred bytes and windows each; and how many are taken at a time.
+HOT, CHUNK = 16_384, 2048
+SEGMENT = 1 << 22
 PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -122,8 +125,8 @@ def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     return near.select("w.th", "d.text", "w.anchors", "w.hot").mapInArrow(run, "anchor long, hot boolean, th long, start long, windows int, place int, cid long, stretch binary")
 
 
-def refine(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
-    """For every stretch which of its windows another stretch, or another place of it, holds too."""
+def window_ids(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Identifiers of all windows of the stretches in turn, refined from ``gram`` to ``length`` bytes."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     ids, depth = hashing.grams(hashing.running(data), gram), gram
     while depth < length:
@@ -132,8 +135,12 @@ def refine(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> l
         depth += step
     ends = np.cumsum([len(p) for p in parts])
     base = np.repeat(ends - [len(p) for p in parts], windows)
-    inside = np.arange(len(base)) - np.repeat(np.cumsum(windows) - windows, windows)
-    own = ids[base + inside]
+    return ids[base + np.arange(len(base)) - np.repeat(np.cumsum(windows) - windows, windows)]
+
+
+def refine(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
+    """For every stretch which of its windows another stretch, or another place of it, holds too."""
+    own = np.concatenate([window_ids(parts[a : a + CHUNK], windows[a : a + CHUNK], length, gram) for a in range(0, len(parts), CHUNK)])
     order = np.argsort(own, kind="stable")
     same = own[order][1:] == own[order][:-1]
     twice = np.zeros(len(own), bool)
@@ -190,21 +197,24 @@ def refine_hot(found: DataFrame, length: int, gram: int) -> DataFrame:
     part = lambda at, n: F.xxhash64(F.substring(F.col("stretch"), at + 1, n), n)
     held = (hi >= place - windows + 1) & (lo <= place)
     covered = (hi <= place) & (lo >= place - windows + 1)
-    keep = ["th", "start", "windows", "place", "stretch"]
-    ranges = found.dropDuplicates(["th", "start"]).select(*keep, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
+    keep = ["th", "start", "windows", "place", "stretch", "known"]
+    ranges = found.dropDuplicates(["th", "start"]).withColumn("known", F.lit(False)).select(*keep, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
     done: DataFrame | None = None
     while True:
         named = cm.saved(ranges.withColumns({"core": part(place - lo, F.lit(length) - (hi - lo)), "hull": F.when(covered, part(place - hi, F.lit(length) + (hi - lo)))}))
         if named.isEmpty():
             return done if done is not None else named.select("th", "start", F.col("start").alias("stop"))
-        shared = named.groupBy("core").count().where("count > 1").select("core")
-        whole = named.where("hull IS NOT NULL").groupBy("hull").count().where("count > 1").select("hull", F.lit(True).alias("all"))
-        rated = cm.saved(named.join(shared, "core").join(whole, "hull", "left"))
-        made = rated.where("all").select("th", (F.col("start") + place - hi).alias("start"), (F.col("start") + place - lo + 1).alias("stop"))
+        first = F.min(F.struct("th", "start")).alias("first")
+        shared = named.groupBy("core").agg(F.count("*").alias("n"), F.bool_or(~F.col("known")).alias("open")).where("n > 1 AND open").select("core")
+        whole = named.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n"), first).where("n > 1").select("hull", "first")
+        rated = cm.saved(named.join(shared, "core").join(whole, "hull", "left").withColumn("all", F.col("first").isNotNull()))
+        made = rated.where("all AND NOT known").select("th", (F.col("start") + place - hi).alias("start"), (F.col("start") + place - lo + 1).alias("stop"))
         done = made if done is None else done.union(made)
+        # Ranges found repeated go on as partners of others, one for each content; the rest is halved.
+        onward = rated.where((lo < hi) & (~F.col("all") | (F.struct("th", "start") == F.col("first")))).withColumn("known", F.col("known") | F.col("all"))
         middle = F.floor((lo + hi) / 2).cast("int")
         halves = F.explode(F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi"))))
-        ranges = rated.where(F.col("all").isNull() & (lo < hi)).select(*keep, halves.alias("r")).select(*keep, "r.lo", "r.hi").where(held)
+        ranges = onward.select(*keep, halves.alias("r")).select(*keep, "r.lo", "r.hi").where(held)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
