@@ -9,9 +9,10 @@ verified on the whole sets.
 2. A cheap pass proves most classes lonely: of the tokens below a hash bound, whose frequency is
    counted exactly, more than a prefix are its own.
 3. The rest is indexed in full under the rare-first order. Each class is first checked against one
-   class of its rarest shared tokens, and components are formed; then all pairs that share a prefix
-   token across components are checked, so a large group of near copies never emits all its pairs, and
-   no link that could join two components is left out.
+   class that other texts of its buckets were copied from, and components are formed; then all pairs that
+   share a prefix token across components are checked, first by parity bitmaps, which bound the
+   difference of two sets from below, so a large group of near copies never emits all its pairs, and no
+   link that could join two components is left out.
 
 Hash identifiers have 64 bits. Defined cases: null text, or text without words, is an empty set and linked
 with nothing; texts with fewer words than a shingle are one shingle; equal sets are linked; every input
@@ -34,6 +35,8 @@ from cutledger.llm.components import components
 #: Share of the hash range whose tokens are counted in the first pass.
 COUNTED = 0.2
 STARS = 2
+#: Bits of the parity bitmap, and rows of a bucket that meet in one task, twice as many at most.
+BITMAP, BLOCK = 2048, 1024
 #: A text with a word has a character that is no ASCII white space.
 BLACK = r"[^\x20\x09-\x0D]"
 
@@ -108,8 +111,8 @@ def survivors(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
-    """``(fp, n, tokens, second, third)``: whole sets and their prefixes under the two pseudo-random orders."""
-    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())] + [(k, pa.list_(pa.int64())) for k in ("tokens", "second", "third")])
+    """``(fp, n, tokens, second, third, bits)``: whole sets, their prefixes under the two pseudo-random orders, and a parity bitmap."""
+    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())] + [(k, pa.list_(pa.int64())) for k in ("tokens", "second", "third")] + [("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -119,24 +122,28 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> D
                 if hashing.fingerprint(s) == fp:
                     p = prefix_length(len(s), percent)
                     orders = [s[np.argsort(hashing.mix(s + np.uint64(k)))[:p]] for k in (101, 202)]
-                    for name, v in zip(out.names, (fp, len(s), *(x.view(np.int64) for x in (s, *orders))), strict=True):
+                    bits = np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes()
+                    for name, v in zip(out.names, (fp, len(s), *(x.view(np.int64) for x in (s, *orders)), bits), strict=True):
                         cols[name].append(v)
             yield cm.batch(out, cols)
 
     near = keyed(docs).alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    found = near.select("w.fp", "d.text").mapInArrow(run, "fp long, n long, tokens array<long>, second array<long>, third array<long>")
+    found = near.select("w.fp", "d.text").mapInArrow(run, "fp long, n long, tokens array<long>, second array<long>, third array<long>, bits binary")
     return cm.saved(found.dropDuplicates(["fp"]))
 
 
 def rare_first_prefix(whole: DataFrame, percent: int) -> DataFrame:
-    """``(token, fp, n, df)``: the shared tokens among each class's prefix when rare tokens come first."""
+    """``(token, fp, n, own)``: the shared tokens among each class's prefix when rare tokens come first.
+
+    ``own`` is the share of tokens no other class has.
+    """
     rows = with_frequency(whole.select(F.explode("tokens").alias("token"), "fp"))
     listed = rows.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
     taken = prefix_column(F.col("n"), percent) - (F.col("n") - F.size("shared"))
     # Tokens of its own come first and match nothing; the rest of the prefix is shared tokens, rarest first.
     kept = listed.join(whole.select("fp", "n"), "fp").where(taken > 0).select(
-        "fp", "n", F.posexplode(F.slice("shared", F.lit(1), taken.cast("int"))).alias("pos", "t"))
-    return cm.saved(kept.select("fp", "n", "pos", "t.token", "t.df"))
+        "fp", "n", (1 - F.size("shared") / F.col("n")).alias("own"), F.explode(F.slice("shared", F.lit(1), taken.cast("int"))).alias("t"))
+    return cm.saved(kept.select("fp", "n", "own", "t.token"))
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
@@ -149,23 +156,69 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * percent).select("a", "b")
 
 
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of a bucket's rows ``(token, fp, n, label, bits)`` with different labels that may reach the threshold.
+
+    Two parity bitmaps differ in no more bits than the sets have tokens that the other one lacks, so a pair
+    whose bitmaps differ too much is no link and isn't written. Large buckets meet block by block.
+    """
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(group: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fp, n, label, side = (np.array([g[k] for g in group], np.int64) for k in range(4))
+        bits = np.frombuffer(b"".join(g[4] for g in group), np.uint64).reshape(len(group), -1)
+        for i in range(len(group) - 1):
+            rest = np.arange(i + 1, len(group))
+            apart = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])) & ((side[rest] != side[i]) | (side[i] < 0))
+            rest = rest[apart]
+            if len(rest):
+                differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                rest = rest[differ * (100 + percent) <= (n[rest] + n[i]) * (100 - percent)]
+                yield np.full(len(rest), fp[i]), fp[rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def flush() -> pa.RecordBatch:
+            made = list(meet(group))
+            a, b = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in (0, 1))
+            return cm.batch(out, {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+        for got in batches:
+            for token, x, y, *row in zip(*got.to_pydict().values(), strict=True):
+                if (token, x, y) != key and group:
+                    yield flush()
+                    group = []
+                key = (token, x, y)
+                group.append(row)
+        if group:
+            yield flush()
+
+    blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = rows.join(blocks, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    # A block also meets itself, in a group of its own.
+    met = dealt.select("token", x.alias("x"), y.alias("y"), "fp", "n", "label", side.cast("long").alias("side"), "bits")
+    return met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """Links ``(a, b)`` between classes that span the components of the whole join."""
     whole = whole_sets(docs, survivors(docs, sets, size, percent), size, percent)
     index = rare_first_prefix(whole, percent)
     close = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    # One class of each token's bucket, another one for another token, so that stars overlap.
-    centre = index.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "fp").alias("h"), F.col("fp").alias("b"), F.col("n").alias("nb"))).alias("c"))
-    stars = index.where(F.col("pos") < STARS).join(centre, "token").select(F.col("fp").alias("a"), "n", "c.b", "c.nb").where((F.col("a") != F.col("b")) & close("n", "nb"))
+    # Of each bucket the class with the fewest tokens of its own: what others were copied from.
+    centre = index.groupBy("token").agg(F.min(F.struct("own", F.xxhash64("fp").alias("h"), F.col("fp").alias("b"), F.col("n").alias("nb"))).alias("c"))
+    met = index.join(centre, "token").where((F.col("fp") != F.col("c.b")) & close("n", "c.nb"))
+    stars = met.groupBy("fp").agg(F.slice(F.array_sort(F.collect_set("c")), 1, STARS).alias("cs")).select(F.col("fp").alias("a"), F.explode("cs.b").alias("b"))
     first = cm.saved(verified(ordered(stars), whole, percent))
     label = components(first)
     placed = index.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("token", "fp", "n", F.coalesce("label", "fp").alias("label"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    open_rows = cm.saved(placed.join(mixed, "token"))
-    x = open_rows.select("token", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    y = open_rows.select("token", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    across = x.join(y, "token").where((F.col("la") < F.col("lb")) & close("na", "nb")).select("a", "b")
+    across = near_pairs(placed.join(mixed, "token").join(whole.select("fp", "bits"), "fp"), percent)
     return first.union(verified(ordered(across), whole, percent))
 
 
