@@ -56,7 +56,7 @@ def words(column) -> F.Column:
     return F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-class WordIds(dict):
+class WordIds:
     """Word to packed ids (unsigned 32-bit, little-endian); ``encode`` gives the ids of new words at once.
 
     A byte-pair tokenizer never merges across the boundaries its pattern sets, so a word's ids don't
@@ -64,19 +64,18 @@ class WordIds(dict):
     """
 
     def __init__(self, encode):
-        super().__init__()
         self.encode = encode
+        self.known: dict[str, bytes] = {}
 
     def joined(self, words: list[str]) -> bytes:
         """Packed ids of ``words`` in a row."""
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            new = list({w for w in words if w not in self})
-            self.update(zip(new, self.encode(new), strict=True))
-            return b"".join(map(self.__getitem__, words))
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+                new = set(words)
+            self.known.update(zip(new, self.encode(new), strict=True))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 _CACHES: dict[tuple[str, str], tuple] = {}
@@ -106,13 +105,16 @@ class BytePairs:
         if suffix:
             order |= {raw(chr(c) + suffix): vocab[chr(c) + suffix] for c in letters}
         order |= {raw(a + b if not suffix else a.removesuffix(suffix) + b): vocab[a + b] for a, b in pairs}
-        self.ids = np.fromiter(order.values(), "<u4", len(order))
+        self.ids = [i.to_bytes(4, "little") for i in order.values()]
         self.end = self.END if suffix else b""
         self.core = tiktoken.Encoding("pieces", pat_str="", mergeable_ranks={t: i for i, t in enumerate(order)}, special_tokens={})._core_bpe
 
-    def __call__(self, pieces: list[str]) -> bytes:
-        merge = self.core.encode_single_piece
-        return b"".join(self.ids[merge(p.encode() + self.end)].tobytes() for p in pieces)
+    def piece(self, piece: str) -> bytes:
+        ids = self.ids
+        return b"".join([ids[i] for i in self.core.encode_single_piece(piece.encode() + self.end)])
+
+    def pieces(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.piece, pieces))
 
 
 #: How each kind of vocabulary file cuts a word: lower-casing or not, a pattern, and the words it is exact for.
@@ -142,10 +144,16 @@ def word_encoder(path: str, pattern: re.Pattern):
         lower, cut, known = CUTS[pattern.pattern]
         cut = regex.compile(cut)
 
-        def each(words: list[str]) -> list[bytes]:
-            return [
-                pairs(cut.findall(w.lower() if lower else w)) if known.fullmatch(w)
-                else np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+        def each(words: set[str]) -> list[bytes]:
+            made = []
+            for w in words:
+                if w.isascii() and w.removeprefix(" ").isalpha():  # one piece, as most words are
+                    made.append(pairs.piece(w.lower() if lower else w))
+                elif known.fullmatch(w):
+                    made.append(pairs.pieces(cut.findall(w.lower() if lower else w)))
+                else:
+                    made.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+            return made
 
         _CACHES[key] = (WordIds(each), [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer)
     cache, marks, tokenizer = _CACHES[key]
