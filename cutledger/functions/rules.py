@@ -10,17 +10,21 @@ from pyspark.sql import Column, functions as F
 URL_START = r"^https?://"
 API_OR_AVATAR_HOST = r"^api\.|\.api\.|avatar"
 API_PATH = r"/(api|rest)/"
-IMAGE_PATH = r"(?i)\.(png|jpe?g|gif|svg|webp|ico)$"
-ID_NAME = r"(?i)(?:^|_)id$"
-URL_OR_ID_NAME = r"(?i)(?:^|_)(?:url|id)$"
-UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-TOKEN_LIKE = r"^[A-Za-z0-9_-]+$"
-PREFIXED_ID = r"^[A-Za-z]{1,10}_[A-Za-z0-9]{6,}$"
+# Host and path of a link; a host with one of the listed characters makes it no link.
+URL_HOST = r"^https?://(?:[^/?#\\@]*@)?([^/?#\\:]*)"
+URL_PATH = r"^https?://[^/?#\\]*([^?#]*)"
+HOST = r"^[^\s<>^`{|}\[\]%\"]+\z"
+IMAGE_PATH = r"(?i)\.(png|jpe?g|gif|svg|webp|ico)\z"
+ID_NAME = r"(?i)(?:^|_)id\z"
+URL_OR_ID_NAME = r"(?i)(?:^|_)(?:url|id)\z"
+UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\z"
+TOKEN_LIKE = r"^[A-Za-z0-9_-]+\z"
+PREFIXED_ID = r"^[A-Za-z]{1,10}_[A-Za-z0-9]{6,}\z"
 WORD_PART = r"(^|[-_])[A-Za-z]{3,}([-_]|$)"
 CHARACTER_RUN = r"[0-9]+|[a-z]+|[A-Z]+|[^0-9a-zA-Z]+"
 SCOPE_QUALIFIER = r"(?i)(?<![A-Za-z0-9_])(?:(?:repo|org|user):|is:pr(?![A-Za-z0-9_]))"
-OWNER_SLUG = r"^[A-Za-z0-9-]+$"
-REPO_SLUG = r"^[A-Za-z0-9_.-]+$"
+OWNER_SLUG = r"^[A-Za-z0-9-]+\z"
+REPO_SLUG = r"^[A-Za-z0-9_.-]+\z"
 MAX_SLUG = 100
 MAX_QUERY = 512
 MAX_PAGE = 34
@@ -29,10 +33,13 @@ MAX_BUDGET = 8192
 
 
 def machine_url(s: Column) -> Column:
-    """Links for programs: API self-links and images. False for anything unparsable."""
-    host = F.lower(F.try_parse_url(s, F.lit("HOST")))
-    path = F.try_parse_url(s, F.lit("PATH"))
-    hit = host.rlike(API_OR_AVATAR_HOST) | path.rlike(API_PATH) | path.rlike(IMAGE_PATH)
+    """Links for programs: API self-links and images. False for a link without a proper host.
+
+    Paths may hold characters that a strict parser refuses, such as spaces and bars.
+    """
+    host = F.lower(F.regexp_extract(s, URL_HOST, 1))
+    path = F.trim(F.regexp_extract(s, URL_PATH, 1))
+    hit = host.rlike(HOST) & (host.rlike(API_OR_AVATAR_HOST) | path.rlike(API_PATH) | path.rlike(IMAGE_PATH))
     return F.when(s.rlike(URL_START), F.coalesce(hit, F.lit(False))).otherwise(F.lit(False))
 
 

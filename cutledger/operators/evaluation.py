@@ -154,27 +154,39 @@ def no_answer(status: Column, error: Column) -> Column:
     return (status == "error") & F.coalesce(F.startswith(error, F.lit("denied:")), F.lit(False))
 
 
-def pending_runs(tasks: DataFrame, arms: list[str], reps: int, runs: DataFrame) -> DataFrame:
-    """Task × arm × repetition still to run; arms and repetitions are short fixed lists."""
+def run_keys(runs: DataFrame) -> list[str]:
+    """What one run is known by; a log of several models says which model it was."""
+    return [c for c in ("task", "arm", "rep", "model") if c in runs.columns]
+
+
+def pending_runs(tasks: DataFrame, arms: list[str], reps: int, runs: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """Task × arm × repetition (× model) still to run; arms, repetitions and models are short fixed lists.
+
+    With ``models`` a run finishes the task for its own model only.
+    """
     planned = tasks.select("task", F.explode(F.array(*map(F.lit, arms))).alias("arm")).select(
         "task", "arm", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"))
-    done = runs.where(finished(F.col("status"), F.col("error"))).select("task", "arm", "rep")
-    return planned.join(done, ["task", "arm", "rep"], "left_anti")
+    keys = ["task", "arm", "rep"]
+    if models is not None:
+        planned, keys = planned.select("*", F.explode(F.array(*map(F.lit, models))).alias("model")), [*keys, "model"]
+    done = runs.where(finished(F.col("status"), F.col("error"))).select(*keys)
+    return planned.join(done, keys, "left_anti")
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
-    """The latest finished row per task, arm and repetition.
+    """The latest finished row per task, arm, repetition and model.
 
     ``max_by`` is partial before the shuffle, so a repetition that was retried very often
     costs one row per map task.
     """
-    rest = [c for c in runs.columns if c not in ("task", "arm", "rep")]
+    keys = run_keys(runs)
+    rest = [c for c in runs.columns if c not in keys]
     done = runs.where(finished(F.col("status"), F.col("error")))
-    return done.groupBy("task", "arm", "rep").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("task", "arm", "rep", "r.*")
+    return done.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*keys, "r.*")
 
 
 def summarize_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Per arm: right, wrong, abstained, no answer, averages and total cost, all regraded.
+    """Per arm (and model, if the log has it): right, wrong, abstained, no answer, averages and total cost, all regraded.
 
     ``tasks`` has ``task, kind, expect_text, expect_numbers``.
     """
@@ -185,7 +197,7 @@ def summarize_runs(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     }).withColumn("abstained", (F.col("status") == "ok") & ~F.col("right") & last_paragraph(F.coalesce("answer", F.lit(""))).rlike(ABSTAINED))
     average = lambda c: F.floor(F.sum(c) / F.count(F.lit(1)) + 0.5).cast("long")
     tenth = lambda c: F.floor(10 * F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count(F.lit(1)) + 0.5).cast("long")
-    return graded.groupBy("arm").agg(
+    return graded.groupBy(*[k for k in run_keys(runs) if k in ("arm", "model")]).agg(
         F.count(F.lit(1)).alias("runs"),
         F.count_if("right").alias("correct"),
         F.count_if(~F.col("right") & ~F.col("none") & ~F.col("abstained")).alias("wrong"),
@@ -204,7 +216,7 @@ def wrong_answers(runs: DataFrame, tasks: DataFrame) -> DataFrame:
     graded = latest_runs(runs).drop("correct").join(tasks, "task").where("status = 'ok'")
     right = F.coalesce(grade(F.col("kind"), F.col("expect_text"), F.col("expect_numbers"), F.coalesce("answer", F.lit(""))), F.lit(False))
     abstained = last_paragraph(F.coalesce("answer", F.lit(""))).rlike(ABSTAINED)
-    return graded.where(~right & ~abstained).select("task", "arm", "rep", "answer", "expect_text", "expect_numbers")
+    return graded.where(~right & ~abstained).select(*run_keys(runs), "answer", "expect_text", "expect_numbers")
 
 
 def audit(shaped: DataFrame) -> DataFrame:

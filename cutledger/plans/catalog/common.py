@@ -9,20 +9,21 @@ from cutledger.operators import leaves as lv
 from cutledger.plans import shape as sh
 from cutledger.sources.views import table as T  # noqa: F401
 
+ORDER_ROWS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)"
+ORDER_PAYLOAD = "concat(o_custkey, '/', pos // 30)"
 ORD = (
-    "ord AS (SELECT *, concat(o_custkey, '/', o_orderkey // 10000) AS payload_id, "
-    "row_number() OVER (PARTITION BY o_custkey, o_orderkey // 10000 ORDER BY o_orderkey) - 1 AS rec_idx, "
+    f"ord AS (SELECT *, {ORDER_PAYLOAD} AS payload_id, pos % 30 AS rec_idx, "
     "concat('Customer#', lpad(CAST(o_custkey AS VARCHAR), 9, '0')) AS login, "
     "concat('Order ', o_orderkey, ' ', o_orderpriority) AS title, "
-    "CASE WHEN o_orderstatus = 'F' THEN concat('agent', o_orderkey % 7) END AS assignee FROM orders)"
+    f"CASE WHEN o_orderstatus = 'F' THEN concat('agent', o_orderkey % 7) END AS assignee FROM {ORDER_ROWS})"
 )
 CONV = (
-    "conv AS (SELECT *, concat(conv_id, '/', turn // 64) AS payload_id, "
-    "row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS rec_idx FROM conversations)"
+    "conv AS (SELECT *, concat(conv_id, '/', pos // 64) AS payload_id, pos % 64 AS rec_idx "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations))"
 )
-DOCS = "docs AS (SELECT *, concat(source, '/', doc_id // 200) AS payload_id FROM documents)"
+DOCS = "docs AS (SELECT *, concat(source, '/', (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 16) AS payload_id FROM documents)"
 EVT = (
-    "evt AS (SELECT *, concat(user_id, '/', event_id // 1000) AS payload_id, "
+    "evt AS (SELECT *, concat(user_id, '/', (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 100) AS payload_id, "
     "CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events)"
 )
 

@@ -112,7 +112,7 @@ def _runs(spark, sf):
     status = F.when(F.col("event_type") == "error", "error").otherwise("ok")
     return e.select(
         F.concat(F.lit("t"), F.col("user_id") % 20).alias("task"), F.get(F.array(*map(F.lit, ARMS)), (k % 3).cast("int")).alias("arm"),
-        (F.col("event_id") % 4).alias("rep"), status.alias("status"), F.col("event_id").alias("seq"), F.lit(None).cast("boolean").alias("correct"),
+        (F.col("event_id") % 4).alias("rep"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), status.alias("status"), F.col("event_id").alias("seq"), F.lit(None).cast("boolean").alias("correct"),
         F.when(status == "ok", F.when(k % 5 == 0, F.lit("It is not shown.")).otherwise(F.concat(F.lit("The answer:\n\n"), k % 4))).alias("answer"),
         F.when(status == "error", F.when(k % 2 == 0, "denied: shell").otherwise("timeout")).alias("error"),
         (k % 3).alias("more_calls"), (k % 7).alias("turns"), (k * 100).alias("input_tokens"), (k % 60).alias("seconds"), (k / 100).alias("cost_usd"))
@@ -125,7 +125,7 @@ def _tasks(spark, sf):
 
 def pending_runs(spark, sf):
     runs = _runs(spark, sf).where("task IN ('t1', 't2', 't3') OR arm <> 'small'")
-    return ev.pending_runs(_tasks(spark, sf), ARMS, 5, runs)
+    return ev.pending_runs(_tasks(spark, sf), ARMS, 5, runs, ["m0", "m1", "m2"])
 
 
 def summarize_runs(spark, sf):
@@ -133,7 +133,7 @@ def summarize_runs(spark, sf):
 
 
 def wrong_answers(spark, sf):
-    return ev.wrong_answers(_runs(spark, sf), _tasks(spark, sf)).select("task", "arm", "rep", "answer")
+    return ev.wrong_answers(_runs(spark, sf), _tasks(spark, sf)).select("task", "arm", "rep", "model", "answer")
 
 
 def audit_violations(spark, sf):
@@ -148,10 +148,10 @@ _REN = f"""{ORD}, ren AS (SELECT payload_id, 'titles' AS arm, string_agg(title,
   kept AS (SELECT payload_id, arm, count(*) AS facts, count(*) FILTER (CASE WHEN kind IN ('number', 'total_count') THEN regexp_matches(text, concat('(^|[^0-9])', value, '([^0-9]|$)'))
     ELSE contains(text, value) END) AS kept FROM ren JOIN facts USING (payload_id) GROUP BY 1, 2)"""
 _RUNS = """e AS (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events),
-  runs AS (SELECT concat('t', user_id % 20) AS task, user_id % 20 % 4 AS expect, CASE k % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'shaped' ELSE 'small' END AS arm, event_id % 4 AS rep, event_id,
+  runs AS (SELECT concat('t', user_id % 20) AS task, user_id % 20 % 4 AS expect, CASE k % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'shaped' ELSE 'small' END AS arm, event_id % 4 AS rep, concat('m', event_id % 3) AS model, event_id,
     CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, CASE WHEN k % 2 = 0 THEN 'denied' ELSE 'timeout' END AS error, k FROM e),
   done AS (SELECT * FROM runs WHERE status = 'ok' OR error = 'denied'),
-  latest AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY task, arm, rep ORDER BY event_id DESC) = 1),
+  latest AS (SELECT * FROM done QUALIFY row_number() OVER (PARTITION BY task, arm, rep, model ORDER BY event_id DESC) = 1),
   graded AS (SELECT *, status = 'error' AS none, status = 'ok' AND k % 5 <> 0 AND k % 4 = expect AS ok, status = 'ok' AND k % 5 = 0 AS abst FROM latest)"""
 _LAST = "regexp_replace(text, '[*`]', '', 'g')"
 
@@ -179,11 +179,11 @@ QUERIES = {
     "grade_yesno": (grade_yesno, "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN conv_id % 2 = 0 WHEN 1 THEN false ELSE conv_id % 2 = 1 END AS right FROM conversations"),
     "grade_logins": (grade_logins, "SELECT conv_id, turn, role = CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END AS right FROM conversations"),
     "pending_runs": (pending_runs, f"""WITH {_RUNS}, f AS (SELECT * FROM done WHERE task IN ('t1', 't2', 't3') OR arm <> 'small'),
-        p AS (SELECT DISTINCT concat('t', c_custkey % 20) AS task, arm, rep FROM customer, (VALUES ('raw'), ('shaped'), ('small')) a(arm), range(5) r(rep))
-        SELECT p.task, p.arm, p.rep FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.task = p.task AND f.arm = p.arm AND f.rep = p.rep)"""),
-    "summarize_runs": (summarize_runs, f"""WITH {_RUNS} SELECT arm, count(*) AS runs, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok AND NOT none AND NOT abst) AS wrong, count(*) FILTER (abst) AS abstained,
+        p AS (SELECT DISTINCT concat('t', c_custkey % 20) AS task, arm, rep, model FROM customer, (VALUES ('raw'), ('shaped'), ('small')) a(arm), range(5) r(rep), (VALUES ('m0'), ('m1'), ('m2')) m(model))
+        SELECT p.task, p.arm, p.rep, p.model FROM p WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.task = p.task AND f.arm = p.arm AND f.rep = p.rep AND f.model = p.model)"""),
+    "summarize_runs": (summarize_runs, f"""WITH {_RUNS} SELECT arm, model, count(*) AS runs, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok AND NOT none AND NOT abst) AS wrong, count(*) FILTER (abst) AS abstained,
         count(*) FILTER (none) AS no_answer, CAST(floor(10.0 * sum(k % 3) / count(*) + 0.5) AS BIGINT) AS recovery_calls_x10, CAST(floor(10.0 * sum(k % 7) / count(*) + 0.5) AS BIGINT) AS turns_x10,
-        CAST(floor(sum(k * 100.0) / count(*) + 0.5) AS BIGINT) AS input_tokens, CAST(floor(1.0 * sum(k % 60) / count(*) + 0.5) AS BIGINT) AS seconds, CAST(sum(k) AS BIGINT) AS cost_cents FROM graded GROUP BY 1"""),
-    "wrong_answers": (wrong_answers, f"WITH {_RUNS} SELECT task, arm, rep, concat('The answer:', chr(10), chr(10), k % 4) AS answer FROM graded WHERE NOT ok AND NOT none AND NOT abst"),
-    "audit_violations": (audit_violations, "SELECT count(DISTINCT concat(o_custkey, '/', o_orderkey // 10000)) AS payloads, 0 AS violations FROM orders"),
+        CAST(floor(sum(k * 100.0) / count(*) + 0.5) AS BIGINT) AS input_tokens, CAST(floor(1.0 * sum(k % 60) / count(*) + 0.5) AS BIGINT) AS seconds, CAST(sum(k) AS BIGINT) AS cost_cents FROM graded GROUP BY 1, 2"""),
+    "wrong_answers": (wrong_answers, f"WITH {_RUNS} SELECT task, arm, rep, model, concat('The answer:', chr(10), chr(10), k % 4) AS answer FROM graded WHERE NOT ok AND NOT none AND NOT abst"),
+    "audit_violations": (audit_violations, f"WITH {ORD} SELECT count(DISTINCT payload_id) AS payloads, 0 AS violations FROM ord"),
 }

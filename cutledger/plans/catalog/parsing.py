@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from cutledger.operators import discovery as dc
 from cutledger.operators import policies as po
 from cutledger.functions.tokens import token_count
-from cutledger.plans.catalog.common import CONV, ORD, T, found, leaves, records, tok
+from cutledger.operators.positions import group_positions
+from cutledger.plans.catalog.common import ORDER_PAYLOAD, ORDER_ROWS, CONV, ORD, T, found, leaves, records, tok
 from cutledger.sources import views
 
 
@@ -19,10 +20,10 @@ def passthrough_reasons(spark, sf):
 
 
 def find_records_pick(spark, sf):
-    o = T(spark, sf, "orders")
+    o = group_positions(T(spark, sf, "orders"), ["o_custkey"], "o_orderkey")
     rec = F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("p"))
     urgent = lambda x: x["p"].isin("1-URGENT", "2-HIGH")
-    packed = o.groupBy("o_custkey", F.expr("o_orderkey div 10000").alias("b")).agg(F.array_sort(F.collect_list(rec)).alias("all"))
+    packed = o.groupBy("o_custkey", F.expr("pos div 30").alias("b")).agg(F.array_sort(F.collect_list(rec)).alias("all"))
     body = F.struct(
         F.struct(F.filter("all", urgent).alias("urgent")).alias("a"),
         F.struct(F.struct(F.filter("all", lambda x: ~urgent(x)).alias("rest")).alias("c")).alias("b"),
@@ -39,8 +40,8 @@ def records_exploded(spark, sf):
 
 
 def _with_siblings(spark, sf):
-    o = T(spark, sf, "orders")
-    packed = o.groupBy("o_custkey", F.expr("o_orderkey div 10000").alias("b")).agg(
+    o = group_positions(T(spark, sf, "orders"), ["o_custkey"], "o_orderkey")
+    packed = o.groupBy("o_custkey", F.expr("pos div 30").alias("b")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("number")))).alias("items"))
     body = F.struct(
         F.struct("items", F.size("items").alias("count"), F.lit("").alias("note")).alias("data"),
@@ -52,11 +53,11 @@ def _with_siblings(spark, sf):
                          F.to_json(body, {"ignoreNullFields": "false"}).alias("text"))
 
 
-_SIBLINGS = """s AS (SELECT concat(o_custkey, '/', o_orderkey // 10000) AS payload_id, max(o_custkey) AS c, count(*) AS n,
-    concat('[', string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), ']') AS keys FROM orders GROUP BY 1),
+_SIBLINGS = f"""s AS (SELECT {ORDER_PAYLOAD} AS payload_id, max(o_custkey) AS c, count(*) AS n,
+    concat('[', string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey), ']') AS keys FROM {ORDER_ROWS} GROUP BY 1),
   m AS (SELECT payload_id, 'data.count' AS path, CAST(n AS VARCHAR) AS js, n FROM s
     UNION ALL SELECT payload_id, 'keys', keys, n FROM s
-    UNION ALL SELECT payload_id, 'owner', concat('{"user":{"id":', c, '}}'), n FROM s)"""
+    UNION ALL SELECT payload_id, 'owner', concat('{{"user":{{"id":', c, '}}}}'), n FROM s)"""
 
 
 def meta_siblings(spark, sf):
@@ -112,8 +113,8 @@ def gain_gate(spark, sf):
 QUERIES = {
     "passthrough_reasons": (passthrough_reasons, """SELECT origin, CASE WHEN json_valid(t) THEN 'no_records' ELSE 'not_json' END AS passthrough, count(*) AS payloads
         FROM (SELECT 'documents' AS origin, text AS t FROM documents UNION ALL SELECT 'events', props FROM events) GROUP BY ALL"""),
-    "find_records_pick": (find_records_pick, """WITH s AS (SELECT concat(o_custkey, '/', o_orderkey // 10000) AS payload_id,
-          count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS u, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS r FROM orders GROUP BY 1)
+    "find_records_pick": (find_records_pick, f"""WITH s AS (SELECT {ORDER_PAYLOAD} AS payload_id,
+          count(*) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')) AS u, count(*) FILTER (o_orderpriority NOT IN ('1-URGENT', '2-HIGH')) AS r FROM {ORDER_ROWS} GROUP BY 1)
         SELECT payload_id, CASE WHEN u >= r THEN 'a.urgent' ELSE 'b.c.rest' END AS record_path, greatest(u, r) AS records FROM s"""),
     "records_exploded": (records_exploded, f"WITH {ORD} SELECT payload_id, count(*) AS records, max(rec_idx) AS last_idx FROM ord GROUP BY 1"),
     "meta_siblings": (meta_siblings, f"WITH {_SIBLINGS} SELECT payload_id, path, js FROM m"),

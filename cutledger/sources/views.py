@@ -1,15 +1,18 @@
 """JSON payload tables built from relational tables.
 
-A payload never holds a whole group: rows of one group are cut into blocks of a unique
-row key, so a payload has at most ``block`` records however hot its group is, and the
-grouping key of the shuffle is ``(group, block)``.
+A payload never holds a whole group: rows of one group are numbered densely and cut into
+blocks of ``block`` positions, so a payload has at most ``block`` records however hot its group
+is, its size doesn't depend on the size of the table, and the grouping key of the shuffle is
+``(group, block)``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BLOCKS = {"orders": 10_000, "conversations": 64, "documents": 200, "pages": 25, "events": 1_000}
+from cutledger.operators.positions import group_positions
+
+BLOCKS = {"orders": 30, "conversations": 64, "documents": 16, "pages": 25, "events": 100}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pack(df: DataFrame, group: str, row_key: str, block: int, record: Column, tool: Column | None = None) -> DataFrame:
-    """``(payload_id, tool, text)``: records of a group packed by blocks of ``row_key``."""
-    number = F.expr(f"`{row_key}` div {block}")
+    """``(payload_id, tool, text)``: records of a group packed by blocks of positions in the order of ``row_key``."""
+    rows = df.select(F.col(group).cast("string").alias("g"), F.col(row_key).alias("k"), record.alias("r"))
     packed = (
-        df.select(F.col(group).cast("string").alias("g"), number.alias("b"), F.struct(F.col(row_key).alias("k"), record.alias("r")).alias("kr"))
+        group_positions(rows, ["g"], "k").select("g", F.expr(f"pos div {block}").alias("b"), F.struct("k", "r").alias("kr"))
         .groupBy("g", "b")
         .agg(F.array_sort(F.collect_list("kr")).alias("items"))
     )
