@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cutledger.llm import common as cm, hashing
 from cutledger.llm.components import components
 
-#: Share of the hash range whose tokens are counted in the first pass.
-COUNTED = 0.2
+#: Tokens counted in the first pass, as a multiple of the share that a prefix takes.
+COUNTED = 1.5
 STARS = 2
 #: Bits of the parity bitmap, and rows of a bucket that meet in one task, twice as many at most.
 BITMAP, BLOCK = 2048, 1024
@@ -41,6 +41,11 @@ BITMAP, BLOCK = 2048, 1024
 BLACK = r"[^\x20\x09-\x0D]"
 
 
+def counted_below(percent: int) -> int:
+    """Hashes below this bound are counted in the first pass."""
+    return int(min(1.0, COUNTED * (100 - percent) / 100) * (2**64 - 1))
+
+
 def prefix_length(n, percent: int):
     """``n - ceil(percent / 100 * n) + 1`` for numbers and numpy arrays."""
     return n - -(-percent * n // 100) + 1
@@ -50,10 +55,10 @@ def prefix_column(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100.0)).cast("long") + 1
 
 
-def set_rows(docs: DataFrame, size: int) -> DataFrame:
+def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``(doc_id, th, n, fp, counted)``: size and identifier of every row's set, and its tokens below the hash bound."""
     out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("counted", pa.int64())])
-    bound = np.uint64(int(COUNTED * 2**64))
+    bound = np.uint64(counted_below(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -74,7 +79,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def counted_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """``(token, fp)`` of the first pass: tokens below the hash bound, or enough of the least hashes for a prefix."""
     out = pa.schema([("token", pa.int64()), ("fp", pa.int64())])
-    bound = np.uint64(int(COUNTED * 2**64))
+    bound = np.uint64(counted_below(percent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # equal sets of one task are written once; bounded by the task's rows
@@ -102,7 +107,7 @@ def with_frequency(tokens: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """``(fp, n, doc_id, th)`` of classes that may have a partner, with one row that holds the set."""
-    below = F.shiftrightunsigned(F.col("token"), 1) < F.lit(int(COUNTED * 2**63))
+    below = F.shiftrightunsigned(F.col("token"), 1) < F.lit(counted_below(percent) >> 1)
     shared = with_frequency(counted_tokens(docs, size, percent)).groupBy("fp").agg(
         F.count_distinct(F.when(below, F.col("token"))).alias("known"), F.count("*").alias("any"))
     holder = sets.where("n > 0").groupBy("fp").agg(F.min(F.struct("n", F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").alias("doc_id"), "th", "counted")).alias("r"))
@@ -112,24 +117,27 @@ def survivors(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> Data
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
     """``(fp, n, tokens, second, third, bits)``: whole sets, their prefixes under the two pseudo-random orders, and a parity bitmap."""
-    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())] + [(k, pa.list_(pa.int64())) for k in ("tokens", "second", "third")] + [("bits", pa.binary())])
+    out = pa.schema([("fp", pa.int64()), ("n", pa.int64())] + [(k, pa.list_(pa.int64())) for k in ("tokens",)] + [(k, pa.list_(pa.int32())) for k in ("second", "third")] + [("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()  # repeated rows of one document meet in one task
         for got in batches:
             cols: dict[str, list] = {f.name: [] for f in out}
             for fp, text in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-                s = hashing.shingles(text, size)
-                if hashing.fingerprint(s) == fp:
+                s = hashing.shingles(text, size) if fp not in made else ()
+                if len(s) and hashing.fingerprint(s) == fp:
+                    made.add(fp)
                     p = prefix_length(len(s), percent)
-                    orders = [s[np.argsort(hashing.mix(s + np.uint64(k)))[:p]] for k in (101, 202)]
+                    # The order's own hash names a token here; half of it is enough for a filter that may let more through.
+                    orders = [np.sort(hashing.mix(s + np.uint64(k)))[:p] >> np.uint64(24) for k in (101, 202)]
                     bits = np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP).astype(np.uint8) & 1).tobytes()
-                    for name, v in zip(out.names, (fp, len(s), *(x.view(np.int64) for x in (s, *orders)), bits), strict=True):
+                    for name, v in zip(out.names, (fp, len(s), s.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in orders), bits), strict=True):
                         cols[name].append(v)
             yield cm.batch(out, cols)
 
     near = keyed(docs).alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    found = near.select("w.fp", "d.text").mapInArrow(run, "fp long, n long, tokens array<long>, second array<long>, third array<long>, bits binary")
-    return cm.saved(found.dropDuplicates(["fp"]))
+    found = near.select("w.fp", "d.text").mapInArrow(run, "fp long, n long, tokens array<long>, second array<int>, third array<int>, bits binary")
+    return cm.saved(found)
 
 
 def rare_first_prefix(whole: DataFrame, percent: int) -> DataFrame:
@@ -138,7 +146,7 @@ def rare_first_prefix(whole: DataFrame, percent: int) -> DataFrame:
     ``own`` is the share of tokens no other class has.
     """
     rows = with_frequency(whole.select(F.explode("tokens").alias("token"), "fp"))
-    listed = rows.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    listed = rows.groupBy("fp").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("shared"))
     taken = prefix_column(F.col("n"), percent) - (F.col("n") - F.size("shared"))
     # Tokens of its own come first and match nothing; the rest of the prefix is shared tokens, rarest first.
     kept = listed.join(whole.select("fp", "n"), "fp").where(taken > 0).select(
@@ -227,7 +235,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     ``label`` names the component also where no row of it has a ``doc_id``; it is null for empty sets.
     """
-    sets = set_rows(docs, size)
+    sets = set_rows(docs, size, percent)
     label = components(links(docs, sets, size, percent))
     classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
