@@ -219,7 +219,7 @@ QUERIES = {
         FROM f WHERE x.path IS NOT NULL GROUP BY 1"""),
     "machine_urls": (machine_urls, f"""WITH u AS ({_forms_sql('pages', 'page_id', _URL_FORMS, 'u')}),
         s AS (SELECT *, lower(regexp_extract(u, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(u, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM u)
-        SELECT page_id, form, regexp_matches(u, '^https?://') AND regexp_matches(host, '^[^\s<>^`{{|}}\\[\\]%"]+$') AND (regexp_matches(host, '^api\\.|\\.api\\.|avatar')
+        SELECT page_id, form, regexp_matches(u, '^https?://') AND regexp_matches(host, '^[^\\s<>^`{{|}}\\[\\]%"]+$') AND (regexp_matches(host, '^api\\.|\\.api\\.|avatar')
           OR regexp_matches(path, '/(api|rest)/') OR regexp_matches(path, '(?i)\\.(png|jpe?g|gif|svg|webp|ico)$')) AS machine FROM s"""),
     "filter_fields_union": (filter_fields_union, """SELECT p_partkey, unnest(CASE WHEN p_size > 25 THEN ['p_partkey', 'p_brand', 'p_type', 'p_size'] ELSE ['p_partkey', 'p_brand'] END) AS field FROM part"""),
     "filter_fields_only": (filter_fields_only, """SELECT p_partkey, unnest(CASE WHEN p_size > 25 THEN ['p_brand', 'p_type', 'p_size'] ELSE ['p_brand'] END) AS field FROM part"""),
