@@ -1,10 +1,10 @@
 """Rebuilding a VARIANT record as JSON text with Spark SQL expressions only.
 
-A record is walked by nesting one higher-order ``transform`` per level, down to
-``max_depth`` levels, so rebuilding is one expression on the row that holds the record:
-no shuffle and no Python worker. Objects and arrays are first brought to one list of
-``(key, value)`` children (``key`` is NULL for array elements), which keeps the generated
-expression linear in the depth.
+A record is walked by nesting one higher-order ``transform`` per level, so rebuilding is one
+expression on the row that holds the record: no shuffle and no Python worker. Objects and arrays
+are first brought to one list of ``(key, value)`` children (``key`` is NULL for array elements),
+which keeps the generated expression linear in the levels. Subtrees below ``UNROLLED`` levels are
+walked by a fold over their tokens (``jsonfold``), so records of any depth come out the same way.
 
 All builders take and return SQL text; wrap the result in ``F.expr``.
 """
@@ -13,7 +13,10 @@ from __future__ import annotations
 
 from itertools import count
 
-MAX_DEPTH = 8
+from cutledger.functions import jsonfold
+
+# Levels written out as nested expressions. Analysis time grows fast with each, and few records go deeper.
+UNROLLED = 3
 
 # JSON texts that count as "no value" (fixed values).
 EMPTY_TEXTS = "('null', '\"\"', '[]', '{}')"
@@ -77,7 +80,7 @@ def json_string(s: str) -> str:
 
 
 def text(v: str, fields: str | None = None, aliases: str | None = None, cap: str | None = None,
-         max_depth: int = MAX_DEPTH) -> str:
+         unrolled: int = UNROLLED) -> str:
     """Cleaned JSON text of a record, NULL when nothing is left.
 
     Empty values are dropped; an emptied array element becomes ``null`` so that positions
@@ -85,26 +88,26 @@ def text(v: str, fields: str | None = None, aliases: str | None = None, cap: str
     (map<string,string>) replaces whole string values, ``cap`` cuts longer strings.
     """
 
+    def value(j: str, s: str, path: str) -> str:
+        cases = []
+        if aliases is not None:
+            hit = f"element_at({aliases}, {s})"
+            cases.append(f"WHEN left({j}, 1) = '\"' AND {hit} IS NOT NULL THEN concat('\"', {hit}, '\"')")
+        if cap is not None:
+            cut = json_string(f"concat(left({s}, {cap}), '…')")
+            cases.append(f"WHEN left({j}, 1) = '\"' AND length({s}) > {cap} THEN {cut}")
+        out = f"CASE {' '.join(cases)} ELSE {j} END" if cases else j
+        return f"CASE WHEN {j} IN {EMPTY_TEXTS} OR NOT ({covered(fields, path)}) THEN NULL ELSE {out} END"
+
     def scalar(v: str, keys: tuple[str, ...]) -> str:
-        def value(j: str) -> str:
-            out = j
-            if aliases is not None or cap is not None:
-                s = f"try_variant_get({v}, '$', 'string')"
-                cases = []
-                if aliases is not None:
-                    hit = f"element_at({aliases}, {s})"
-                    cases.append(f"WHEN left({j}, 1) = '\"' AND {hit} IS NOT NULL THEN concat('\"', {hit}, '\"')")
-                if cap is not None:
-                    cut = json_string(f"concat(left({s}, {cap}), '…')")
-                    cases.append(f"WHEN left({j}, 1) = '\"' AND length({s}) > {cap} THEN {cut}")
-                out = f"CASE {' '.join(cases)} ELSE {j} END"
-            return f"CASE WHEN {j} IN {EMPTY_TEXTS} OR NOT ({covered(fields, dotted(keys))}) THEN NULL ELSE {out} END"
-
-        return let(f"to_json({v})", value)
+        return let(f"to_json({v})", lambda j: value(j, f"try_variant_get({v}, '$', 'string')", dotted(keys)))
+
+    def deep(v: str, keys: tuple[str, ...]) -> str:
+        return let(f"to_json({v})", lambda j: f"CASE WHEN {jsonfold.is_container(j)} THEN {jsonfold.rebuilt(j, keys, value)} ELSE {scalar(v, keys)} END")
 
     def node(v: str, keys: tuple[str, ...]) -> str:
-        if len(keys) == max_depth:
-            return scalar(v, keys)
+        if len(keys) == unrolled:
+            return deep(v, keys)
         k, x, y, z = (_fresh(c) for c in "kxyz")
         sub = node(f"{k}.value", (*keys, f"{k}.key"))
         return let(
@@ -124,13 +127,15 @@ def text(v: str, fields: str | None = None, aliases: str | None = None, cap: str
     return node(v, ())
 
 
-def pick_text(v: str, fields: str, max_depth: int = MAX_DEPTH) -> str:
+def pick_text(v: str, fields: str, unrolled: int = UNROLLED) -> str:
     """JSON text of a record cut to ``fields`` with nothing else changed (no cleaning)."""
 
     def node(v: str, keys: tuple[str, ...]) -> str:
         whole = covered(fields, dotted(keys))
-        if len(keys) == max_depth:
-            return f"CASE WHEN {whole} THEN to_json({v}) END"
+        if len(keys) == unrolled:
+            picked = let(f"to_json({v})", lambda j: f"CASE WHEN {jsonfold.is_container(j)} THEN "
+                         + jsonfold.rebuilt(j, keys, lambda t, _, path: f"CASE WHEN {covered(fields, path)} THEN {t} END", lambda path: covered(fields, path)) + " END")
+            return f"CASE WHEN {whole} THEN to_json({v}) ELSE {picked} END"
         k, x, y, z = (_fresh(c) for c in "kxyz")
         sub = node(f"{k}.value", (*keys, f"{k}.key"))
         inner = let(

@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cutledger.functions import jsonfold
+from cutledger.functions.jsonwalk import UNROLLED
 from cutledger.functions.rules import machine_url
 
-MAX_DEPTH = 8
 
-
-def leaf_values(records: DataFrame, *keys: str, column: str = "rec", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(*keys, path, apath, ord, js, str, depth_overflow)`` for every leaf.
+def leaf_values(records: DataFrame, *keys: str, column: str = "rec", unrolled: int = UNROLLED) -> DataFrame:
+    """``(*keys, path, apath, ord, js, str)`` for every leaf at any depth.
 
     Arrays are transparent in ``path``; ``apath`` stops at the first array. ``ord`` holds
     the positions walked, so it orders the leaves of a record. ``js`` is the JSON text, NULL
     for null, "", [] and {}; ``str`` is the value of a string leaf. The explodes keep the
-    input partitioning, so nothing is shuffled here.
+    input partitioning, so nothing is shuffled here. Containers below the unrolled levels are
+    folded in the row that holds them.
     """
     spark = records.sparkSession
     level = records.select(
@@ -26,7 +27,7 @@ def leaf_values(records: DataFrame, *keys: str, column: str = "rec", max_depth:
         F.lit(False).alias("in_array"),
         F.expr("cast(array() AS array<int>)").alias("ord"),
     )
-    for _ in range(max_depth):
+    for _ in range(unrolled):
         step = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("node").outer()))
         named = F.col("key").isNotNull()
         child = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
@@ -39,14 +40,15 @@ def leaf_values(records: DataFrame, *keys: str, column: str = "rec", max_depth:
             array_now.alias("in_array"),
             F.concat("ord", F.array(F.coalesce("pos", F.lit(-1)))).alias("ord"),
         )
-    js = F.expr("to_json(node)")
-    texts = level.select(*keys, "path", "apath", "ord", js.alias("js"), "node")
+    level = level.withColumn("js", F.expr("to_json(node)"))
+    own = "named_struct('path', path, 'apath', apath, 'i', 0, 'js', js)"
+    rows = level.select(*keys, "ord", F.expr(
+        f"inline(CASE WHEN {jsonfold.is_container('js')} THEN {jsonfold.leaves('js', 'path', 'apath', 'in_array')} ELSE array({own}) END)"))
     filled = ~F.col("js").isin("null", '""', "[]", "{}")
-    return texts.select(
-        *keys, "path", "apath", "ord",
+    return rows.select(
+        *keys, "path", "apath", F.concat("ord", F.array("i")).alias("ord"),
         F.when(filled, F.col("js")).alias("js"),
-        F.when(filled & F.col("js").startswith('"'), F.expr("try_variant_get(node, '$', 'string')")).alias("str"),
-        (filled & F.col("js").rlike(r"^[\[{]")).alias("depth_overflow"),
+        F.when(filled & F.col("js").startswith('"'), F.expr(jsonfold.unquoted("js"))).alias("str"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cutledger.functions import jsonwalk as jw
+from cutledger.functions import jsonfold as jf, jsonwalk as jw
 from cutledger.functions.tokens import token_count_sql
 from cutledger.operators import counts as ct
 from cutledger.operators import discovery as dc
@@ -157,7 +157,7 @@ def _fit(plan: DataFrame) -> DataFrame:
         "row": F.expr("CASE WHEN o_budget IS NOT NULL AND fitted = 0 AND start < n_total THEN try_parse_json(get(lines, 0)) END"),
     }).withColumns({
         "level": F.expr(f"CASE WHEN NOT over_0 THEN 0 WHEN {over('text_1')} THEN 2 ELSE 1 END"),
-        "longest": F.expr(f"CASE WHEN row IS NOT NULL THEN cast({longest_string('row')} AS bigint) END"),
+        "longest": F.expr(f"CASE WHEN row IS NOT NULL THEN cast({jf.longest_string('row')} AS bigint) END"),
         "cut_head": F.expr(f"CASE WHEN row IS NOT NULL THEN {rd.head('1L', 2)} END"),
     })
     # The largest cap that fits, by halving the range of caps.
@@ -211,23 +211,6 @@ def _fit(plan: DataFrame) -> DataFrame:
     return done.select(F.inline_outer(F.array(result)))
 
 
-def longest_string(v: str, depth: int = jw.MAX_DEPTH) -> str:
-    """SQL for the length of the longest string value anywhere in a VARIANT."""
-
-    def node(v: str, d: int) -> str:
-        own = f"CASE WHEN left(to_json({v}), 1) = '\"' THEN length(try_variant_get({v}, '$', 'string')) ELSE 0 END"
-        if d == 0:
-            return own
-        k = jw._fresh("k")
-        return jw.let(
-            jw.children(v),
-            lambda kids: f"CASE WHEN {kids} IS NULL THEN {own} ELSE "
-            f"coalesce(array_max(transform({kids}, {k} -> {node(k + '.value', d - 1)})), 0) END",
-        )
-
-    return node(v, depth)
-
-
 def manifest(shaped: DataFrame) -> DataFrame:
     """The ledger: one row per cut, ``(payload_id, kind, path, n)``."""
     def listed(kind: str, column: str) -> Column:
