@@ -64,7 +64,8 @@ def record_paths(leaves: DataFrame, key: str = "payload_id", rec: str = "rec_idx
     than a record.
     """
     filled = F.col("js").isNotNull()
-    rows = leaves.where("path <> ''").groupBy(key, rec, "path").agg(
+    # A record without keys has one row of the empty path, so its empty shape counts.
+    rows = leaves.groupBy(key, rec, "path").agg(
         F.min("apath").alias("apath"),
         F.min("ord").alias("first_ord"),
         F.count("js").alias("n_values"),
@@ -83,7 +84,7 @@ def record_paths(leaves: DataFrame, key: str = "payload_id", rec: str = "rec_idx
         "record_shape": F.expr("array_sort(transform(filled, p -> named_struct('path', p.path, 'apath', p.apath)))"),
     })
     one = records.select(key, rec, "filled_prefixes", "record_shape", F.posexplode_outer("paths").alias("i", "p"))
-    top = F.expr("CASE WHEN p.n_values = 0 THEN get(array_except(p.prefixes, filled_prefixes), 0) END")
+    top = F.expr("CASE WHEN p.n_values = 0 AND p.path <> '' THEN get(array_except(p.prefixes, filled_prefixes), 0) END")
     return one.select(key, rec, "p.*", top.alias("empty_top"), F.when(F.col("i") == 0, F.col("record_shape")).alias("shape"))
 
 

@@ -40,6 +40,7 @@ CASES = {
     "issues_counts": (ISSUES, "list", ["number", "title"], 100_000, 0, ["labels.name"]),
     "evil": (EVIL, "auto", None, 100_000, 0, None),
     "past_end": (ISSUES, "auto", None, 600, 99, None),
+    "record_without_keys": ('[{"w":1,"v":"x"},{},{"w":3,"v":"y"}]', "auto", None, 1000, 0, None),
     "same_list": ('[{"l":[1,null],"n":1},{"l":[null,1],"n":2},{"l":[1],"n":3}]', "auto", None, 1000, 0, None),
     "ragged_empty": ('[{"a":{"b":null}},{"a":{"c":1}},{"a":{"c":2}}]', "auto", None, 1000, 0, None),
 }
@@ -173,3 +174,8 @@ def test_aliases_replace_whole_values(spark):
     r = shape_payloads(df, fields=["id", "n"]).collect()[0]
     assert records(r) == [{"id": "@1", "n": "see ch_3NxQ8kLm2pZ9"}] and r.aliased == 1
     assert "# @1, @2… are short ids" in r.text
+
+
+def test_record_without_keys_makes_rows_ragged(results):
+    r = results["record_without_keys"]
+    assert r.ragged and r.records == 3 and r.empty == [] and sorted(r.fields) == ["v", "w"]
