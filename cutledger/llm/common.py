@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Rust's white space differs from Python's only by the four separators below, which Rust keeps.
 WORD = re.compile(r"[\S\x1c-\x1f]+")
 SPACED_WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-CACHE_WORDS = 800_000
+#: Cached words between single spaces, and cached other pieces (first words of lines, irregular white space).
+CACHE_WORDS, CACHE_PIECES = 700_000, 100_000
 
 
 def vocabulary(name: str) -> str:
@@ -60,22 +61,52 @@ class WordIds:
     """Word to packed ids (unsigned 32-bit, little-endian); ``encode`` gives the ids of new words at once.
 
     A byte-pair tokenizer never merges across the boundaries its pattern sets, so a word's ids don't
-    depend on the words around it. At CACHE_WORDS words the cache starts again, which bounds memory.
+    depend on the words around it. At ``room`` words the cache starts again, which bounds memory.
     """
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, room: int):
+        self.encode, self.room = encode, room
         self.known: dict[str, bytes] = {}
 
     def joined(self, words: list[str]) -> bytes:
         """Packed ids of ``words`` in a row."""
-        new = set(words).difference(self.known)
-        if new:
-            if len(self.known) >= CACHE_WORDS:
+        found = list(map(self.known.get, words))
+        if None in found:
+            if len(self.known) >= self.room:
                 self.known.clear()
-                new = set(words)
+            new = set(words).difference(self.known)
             self.known.update(zip(new, self.encode(new), strict=True))
-        return b"".join(map(self.known.__getitem__, words))
+            found = map(self.known.__getitem__, words)
+        return b"".join(found)
+
+
+class Pieces:
+    """Packed ids of whole texts from the ids of their words.
+
+    Lines of words between single spaces, as most are, need no pattern: their words are cached bare.
+    All other texts are cut by ``pattern``. In a spaced vocabulary
+    a cached word carries the space before it.
+    """
+
+    def __init__(self, pattern: re.Pattern, encode):
+        self.pattern, self.spaced = pattern, pattern is SPACED_WORD
+        lead = " " if self.spaced else ""
+        self.words = WordIds(lambda words: encode([lead + w for w in words]), CACHE_WORDS)
+        self.others = WordIds(encode, CACHE_PIECES)
+
+    def ids(self, text: str) -> bytes:
+        if not self.spaced:
+            plain = not any(map(text.__contains__, "\x1c\x1d\x1e\x1f"))
+            return self.words.joined(text.split() if plain else self.pattern.findall(text))
+        out, mark = [], ""
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:
+                return self.others.joined(self.pattern.findall(text))
+            out.append(self.others.joined([mark + words[0]]))
+            out.append(self.words.joined(words[1:]))
+            mark = "\n"
+        return b"".join(out)
 
 
 _CACHES: dict[tuple[str, str], tuple] = {}
@@ -144,7 +175,7 @@ def word_encoder(path: str, pattern: re.Pattern):
         lower, cut, known = CUTS[pattern.pattern]
         cut = regex.compile(cut)
 
-        def each(words: set[str]) -> list[bytes]:
+        def each(words: list[str] | set[str]) -> list[bytes]:
             made = []
             for w in words:
                 if w.isascii() and w.removeprefix(" ").isalpha():  # one piece, as most words are
@@ -155,13 +186,13 @@ def word_encoder(path: str, pattern: re.Pattern):
                     made.append(np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
             return made
 
-        _CACHES[key] = (WordIds(each), [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer)
+        _CACHES[key] = (Pieces(pattern, each), [t.content for t in tokenizer.get_added_tokens_decoder().values()], tokenizer)
     cache, marks, tokenizer = _CACHES[key]
 
     def encode(text: str) -> bytes:
         if any(m in text for m in marks):
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return cache.joined(pattern.findall(text))
+        return cache.ids(text)
 
     return encode
 

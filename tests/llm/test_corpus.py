@@ -373,8 +373,11 @@ def test_word_cache_matches_tokenizer():
     alphabet = list("abÄßöİıÑŁ Z\n\t  \x1c\x1f\x85  é̸́İΣς'sß$%12　漢字🙂​\x00.,'re't") + ["<|endoftext|>"]
     for name, pattern in (("byte_bpe_50k.json", cm.SPACED_WORD), ("word_bpe_49k.json", cm.WORD)):
         tokenizer, encode = Tokenizer.from_file(cm.vocabulary(name)), cm.word_encoder(cm.vocabulary(name), pattern)
-        for _ in range(1500):
+        letters = [c for c in alphabet if not c.isspace()]
+        for k in range(1500):
             text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(30)))
+            if k % 2:  # lines of words between single spaces
+                text = "".join(rng.choice(letters) + rng.choice(["", "", "", " ", "\n"]) for _ in range(rng.randrange(30)))
             assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
