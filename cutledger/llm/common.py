@@ -51,6 +51,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shares(counts: dict, bound: int) -> dict:
+    """``bound`` dealt evenly over groups of these sizes; what a small group leaves goes to the larger ones."""
+    out, left = {}, bound
+    for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], str(g)))):
+        out[g] = min(counts[g], max(1, left // (len(counts) - i)))
+        left -= out[g]
+    return out
+
+
+def least_hashes(rows: DataFrame, bound: int) -> list:
+    """Of ``(h, g, ...)`` rows, one for each ``h`` and group, every group's share of ``bound``: its rows of least ``h``.
+
+    A bound on the hash, from the exact size of each group, leaves little more than the share, so no task sorts a group.
+    """
+    rows = saved(rows)
+    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    share = shares(sizes, bound)
+    limit = lambda g: min(2**63 - 1, int((1.3 * share[g] + 50) / sizes[g] * 2**64) - 2**63)
+    below = [F.col("g").eqNullSafe(F.lit(g)) & (F.col("h") <= F.lit(limit(g)).cast("long")) for g in share]
+    if not below:
+        return []
+    near = below[0]
+    for b in below[1:]:
+        near = near | b
+    out, taken = [], dict.fromkeys(share, 0)
+    for r in sorted(rows.where(near).collect(), key=lambda r: (r["h"], str(r["g"]))):
+        if taken[r["g"]] < share[r["g"]]:
+            taken[r["g"]] += 1
+            out.append(r)
+    return out
+
+
 def words(column) -> F.Column:
     """Lower-cased words of a text, split at ASCII white space; no words: an empty array."""
     low = F.translate(F.coalesce(column, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -226,6 +226,22 @@ def test_pii_model_learns_and_calibrates():
     assert pii.boost(x, np.ones(800)) is None
 
 
+def test_pii_finds_added_kinds(spark, docs):
+    planted = [
+        ("iban", "please pay to DE89370400440532013000 soon", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 32"),
+        ("mail_words", "it is jane.doe (at) example (dot) org for now", "jane.doe (at) example (dot) org"), ("id_number", "his number 123-45-6789 was seen", "123-45-6789"),
+        ("phone_local", "phone 0221 555 1234 after six", "0221 555 1234")]
+    alike = ["please pay to DE88370400440532013000 soon", "AB12 CDEF GHIJ KLMN", "look (at) this. Then go", "his number 000-45-6789 was seen", "666-45-6789", "123-00-6789",
+             "phone us on 12.03.2019 then", "it had 0221 555 1234 lines"]
+    df = frame(spark, [(i, t, "en") for i, t in enumerate([t for _, t, _ in planted] + alike)])
+    for learned in (docs, docs.limit(0), df):
+        got = {r["doc_id"]: r["found"] for r in pii.find(df, pii.fit(learned), "doc_id").collect()}
+        for i, (kind, text, span) in enumerate(planted):
+            at = text.index(span)
+            assert (pii.KINDS.index(kind), at, at + len(span)) in [(s["kind"], s["start"], s["end"]) for s in got[i]], (text, got[i])
+        assert [got[i] for i in range(len(planted), len(planted) + len(alike))] == [[]] * len(alike)
+
+
 def brute_secrets(text):
     out = []
     for k, pattern in enumerate((r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", "AKIA[A-Z0-9]+", "[0-9a-f]+")):
