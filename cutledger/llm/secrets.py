@@ -3,8 +3,8 @@
 Base spans (assign, access, hex) are exact rules and always stay. Weaker parts - account identifiers,
 high-entropy strings and endpoints - say little alone. They are joined by interval: a weak secret is
 reported only if an identifier (or access key) lies within ``SCOPE`` code points of it and an endpoint
-does as well. Positions fall into bins of ``SCOPE``, so a part meets its own bin and both
-neighbours, and then the distance decides.
+does as well. Positions fall into bins of ``SCOPE``; a span covers every bin from its start to its end,
+reaches one ``SCOPE`` further on both sides, and then the distance decides.
 
 Defined cases: null text counts as empty (no spans); rows are independent, so repeated rows repeat; an
 empty table gives no rows; other input columns are ignored by the query.
@@ -32,9 +32,10 @@ SCOPE = 200
 
 def near(parts: Column, others: Column, scope: int) -> Column:
     """The parts with one of the others at most ``scope`` code points away, joined by bin and then by distance."""
-    home = lambda s: F.floor(s["start"] / scope).cast("int")
-    bins = F.array_distinct(F.flatten(F.transform(others, lambda o: F.array(home(o) - 1, home(o), home(o) + 1))))
-    return F.filter(parts, lambda s: F.array_contains(bins, home(s)) & F.exists(
+    bin_of = lambda at: F.floor(at / scope).cast("int")
+    bins = F.array_distinct(F.flatten(F.transform(others, lambda o: F.sequence(bin_of(o["start"] - scope), bin_of(o["end"] + scope)))))
+    covers = lambda s: F.sequence(bin_of(s["start"]), bin_of(s["end"]))
+    return F.filter(parts, lambda s: F.arrays_overlap(covers(s), bins) & F.exists(
         others, lambda o: (F.greatest(o["start"], s["start"]) - F.least(o["end"], s["end"])) <= scope))
 
 

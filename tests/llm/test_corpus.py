@@ -272,6 +272,19 @@ def test_secrets_link_parts(spark):
     assert masked == "[secret] [secret] = abcdefgh [secret] API-KEY [secret]\" [secret] g" or "abcdef'" not in masked
 
 
+def test_secrets_link_at_every_gap(spark):
+    token = "aB3dE5gH7jK9mN1pQ3sT" + "x7" * 22
+    endpoint = "https://" + "abcdefg." * 20 + "example.com"
+    made = []
+    for gap in (1, 2, 50, 136, 137, 186, 199, 200, 201):
+        for lead in range(0, 200, 7):
+            fill = " " * gap
+            made += [(gap, f"{'.' * lead} user: jane {token}{fill}{endpoint}"), (gap, f"{'.' * lead} user: jane {endpoint}{fill}{token} user: jane")]
+    df = frame(spark, [(i, t, "en") for i, (_, t) in enumerate(made)])
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
+    assert [i for i, (gap, _) in enumerate(made) if ("weak_secret" in got[i]) != (gap <= 200)] == []
+
+
 def test_packing(table):
     from tokenizers import Tokenizer
 
