@@ -1,7 +1,7 @@
 """Secret scans: fixed-form secrets, and credentials pieced together from parts, in DataFrame functions.
 
 Base spans (assign, access, hex) are exact rules and always stay. Weaker parts - account identifiers,
-high-entropy strings and endpoints - say little alone. They are joined by interval: a weak secret is
+varied strings of any length and endpoints - say little alone. They are joined by interval: a weak secret is
 reported only if an identifier (or access key) lies within ``SCOPE`` code points of it and an endpoint
 does as well. Positions fall into bins of ``SCOPE``; a span covers every bin from its start to its end,
 reaches one ``SCOPE`` further on both sides, and then the distance decides.
@@ -22,12 +22,28 @@ ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?(
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]{16,}+", "hex": "[0-9a-f]{24,}+"}
 PARTS = ["weak_secret", "identifier", "endpoint"]
 PART_PATTERNS = {
-    "weak_secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9a-z+/_=-]*[A-Z])[A-Za-z0-9+/_=-]{16,80}+(?![A-Za-z0-9+/_=-])",
+    "weak_secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+",
     "identifier": r"(?i:user(?:name|_?id)?|login|client_?id|account_?id)[\"']? *[:=] *[\"']?[A-Za-z0-9@._-]{3,64}+",
     "endpoint": r"(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[A-Za-z0-9.-]{3,200}+(?::[0-9]{2,5})?",
 }
 KINDS = BASE + PARTS
 SCOPE = 200
+#: Bits a character from which a piece of a run counts as varied; prose words of 16 letters seldom reach it.
+ENTROPY = 3.0
+
+
+def entropy(m: Column) -> Column:
+    """Bits a character of a string, from how often each of its characters occurs."""
+    n = F.length(m)
+    count = lambda c: n - F.length(F.replace(m, c, F.lit("")))
+    signs = F.array_distinct(F.regexp_extract_all(m, F.lit("."), F.lit(0)))
+    return F.aggregate(signs, F.lit(0.0), lambda acc, c: acc - count(c) / n * F.log2(count(c) / n))
+
+
+def varied(m: Column) -> Column:
+    """Whether a run may be a secret: digits and capitals, or a piece without ``/`` and ``=`` of 16 characters with enough entropy."""
+    pieces = F.regexp_extract_all(m, F.lit("[A-Za-z0-9+_-]{16,}+"), F.lit(0))
+    return (m.rlike("[0-9]") & m.rlike("[A-Z]")) | F.exists(pieces, lambda p: entropy(p) >= ENTROPY)
 
 
 def near(parts: Column, others: Column, scope: int) -> Column:
@@ -54,6 +70,8 @@ def find(docs: DataFrame, *keep: str, scope: int = SCOPE) -> DataFrame:
     df = df.withColumns({f"__s_{k}": sp.located(t, F.col(f"__h_{k}"), every[k]) for k in BASE}
                         | {f"__s_{k}": F.when(linked, sp.located(t, F.col(f"__h_{k}"), every[k])).otherwise(none) for k in PARTS})
     df = df.withColumn("__s_assign", F.filter("__s_assign", lambda s: F.length(F.regexp_extract(s["m"], ASSIGN, 1)) >= 6))
+    inside = lambda s: F.exists("__s_identifier", lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]))
+    df = df.withColumn("__s_weak_secret", F.filter("__s_weak_secret", lambda s: varied(s["m"]) & ((s["m"].rlike("[0-9]") & s["m"].rlike("[A-Z]")) | ~inside(s))))
     base = F.concat(*[sp.label(F.col(f"__s_{k}"), i) for i, k in enumerate(BASE)])
     who = F.concat("__s_identifier", "__s_access")
     weak = near(near(F.col("__s_weak_secret"), who, scope), F.col("__s_endpoint"), scope)

@@ -285,6 +285,24 @@ def test_secrets_link_at_every_gap(spark):
     assert [i for i, (gap, _) in enumerate(made) if ("weak_secret" in got[i]) != (gap <= 200)] == []
 
 
+def test_secrets_of_every_length_and_form(spark):
+    rng = random.Random(8)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    tokens = [draw(small + small.upper() + "0123456789+/", 86) + "==", "aB3" + draw(small, 900), draw(small + "0123456789", 24), draw(small, 20), draw(small + small.upper(), 32), draw(small.upper(), 26)]
+    plain = ["=" * 40, "-" * 16 + "_" * 16, "aaaaaaaaaaaabbbbbbbb", "a/b/c/d/e/f/g/h/i/j/k", "internationalization"]
+    made = [*tokens, *plain]
+    texts = [f"login: jane https://x.example.com {t} end" for t in made] + ["login=extraordinarilyqx https://x.example.com end"]
+    df = frame(spark, [(i, t, "en") for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(df).collect()}
+    assert all(f"weak_secret:34:{34 + len(t)}" in got[i] for i, t in enumerate(tokens))
+    assert not any("weak_secret" in got[i] for i in range(len(tokens), len(texts)))
+    cleaned = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert not any(t in cleaned[i] for i, t in enumerate(tokens))
+    alone = secrets.report(frame(spark, [(i, f"login: jane {t}", "en") for i, t in enumerate(tokens)]))
+    assert not any("weak_secret" in r["spans"] for r in alone.collect())
+
+
 def test_packing(table):
     from tokenizers import Tokenizer
 
