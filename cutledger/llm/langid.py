@@ -1,9 +1,9 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network reads bytes in both directions, labels every position, and a document's probabilities are
-the mean over all its positions. It is trained in numpy by backpropagation through time on a bounded,
-hash-ordered sample of labelled rows (``TRAIN_ROWS``); prediction reads whole texts, cut into chunks
-that are run side by side.
+the mean over all its positions. It is trained in numpy by backpropagation through time on a bounded
+sample of labelled, distinct texts (``TRAIN_ROWS``), dealt over the languages and in each the first by hash;
+prediction reads whole texts, cut into chunks that are run side by side.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; so is every text when no
 labelled row can be learned from; a null label is not learned from; rows are independent, so repeated rows
@@ -211,14 +211,15 @@ def held_out(key) -> F.Column:
 
 
 def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, size: int = CHUNK) -> Network | None:
-    """Train on at most ``max_rows`` labelled rows, the first by a hash of the text; a passage of each is learned."""
+    """Train on at most ``max_rows`` distinct labelled texts, a share for each language; a passage of each is learned."""
     mix = F.xxhash64("text")
     room = F.greatest(F.length("text") - size, F.lit(0)) + 1
     learn = docs.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sample = learn.select(
-        mix.alias("h"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text"), F.pmod(F.xxhash64("text", F.lit(1)), room).cast("int") + 1, F.lit(size)).alias("part"))
-    rows = sample.orderBy("h", "lang", "part").limit(max_rows).collect()
-    return train([(r["part"].encode()[:size], r["lang"]) for r in rows], size=size)
+        mix.alias("h"), F.col("lang").cast("string").alias("g"), F.substring(F.col("text"), F.pmod(F.xxhash64("text", F.lit(1)), room).cast("int") + 1, F.lit(size)).alias("part"))
+    # Copies of a text are one row, whatever their number; a text under several labels keeps its first.
+    distinct = sample.groupBy("h").agg(F.min(F.struct("g", "part")).alias("one")).select("h", "one.g", "one.part")
+    return train([(r["part"].encode()[:size], r["g"]) for r in cm.least_hashes(distinct, max_rows)], size=size)
 
 
 def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -370,6 +370,22 @@ def test_language_id(docs, spark, table):
     assert [r["lang_pred"] for r in langid.identify(frame(spark).where("doc_id < 4"), langid.fit(docs)).collect()] == ["und"] * 3
 
 
+def test_language_sample_ignores_copies_and_majorities(spark, docs, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda rows, size: taken.append(Counter(lang for _, lang in rows)))
+    first = "copied text of some words"
+    made = [(3 * i, first, "en") for i in range(400)] + [(i, f"viele Worte {i}", "de") for i in range(300)] + [(i, f"algo raro {i}", "es") for i in range(9)]
+    df = frame(spark, made).withColumn("doc_id", F.lit(1).cast("long"))
+    assert not df.where(langid.held_out(F.col("doc_id"))).count()
+    langid.fit(df, max_rows=60)
+    assert taken == [{"en": 1, "es": 9, "de": 50}]
+
+
+def test_shares():
+    assert cm.shares({"a": 1000, "b": 4, "c": 500, None: 30}, 100) == {"b": 4, None: 30, "c": 33, "a": 33}
+    assert cm.shares({}, 5) == {} and cm.shares({"a": 2}, 5) == {"a": 2}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(5)
     net = langid.start(["a", "b"], 3)
