@@ -266,10 +266,10 @@ def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated bytes removed from ``text``; a character cut in two goes whole, ``n_chars`` follows."""
     names = docs.columns
-    found = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")).join(repeats(docs, length).withColumnsRenamed({"th": "__th", "copies": "__copies", "runs": "__runs"}), "__th", "left")
+    found = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")).join(repeats(docs, length, gram).withColumnsRenamed({"th": "__th", "copies": "__copies", "runs": "__runs"}), "__th", "left")
     schema = found.select(*[F.col(f"`{n}`") for n in names]).schema
     at = names.index("text")
 

@@ -483,6 +483,21 @@ def test_hashes_ignore_place():
     assert g[0] == g[3] and g[0] != g[1] and hashing.substrings(p, np.array([0, 13]), np.array([13, 26])).tolist()[0] == hashing.substrings(p, np.array([13]), np.array([26]))[0]
 
 
+def test_pipeline_cuts_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    passage, short = words(51), words(20)
+    assert 150 <= len(passage) < 250 and len(short) < 149
+    parts = [(words(120), words(130)) for _ in range(8)]
+    made = [(i, f"{a} {passage if i < 4 else short} {b}", "en") for i, (a, b) in enumerate(parts)]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.suffix_array_dedup(spark, frame(spark, made), SF_DIR).collect()}
+    for i, (a, b) in enumerate(parts):
+        assert (passage not in got[i] and len(got[i]) <= len(a) + len(b)) if i < 4 else got[i] == made[i][1]
+        assert got[i].startswith(a[:-2]) and got[i].endswith(b[2:])
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline(spark, docs, tmp_path, empty):
     import corpus_pipeline
