@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cutledger.llm import common as cm, fingerprints, jaccard_join, kdtree, langid, packing, pii, secrets, sp_offsets, suffix_dedup, varint_ids
+from cutledger.llm import (
+    collocations, common as cm, fingerprints, jaccard_join, kdtree, langid, packing, pii, secrets, sp_offsets, suffix_dedup, toxicity, varint_ids, whitening)
 
 
 def op1_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +50,18 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(cm.table(spark, sf_dir, "documents"))
 
 
+def op11_weighted_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(cm.table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(cm.table(spark, sf_dir, "documents"))
+
+
+def op13_nonnegative_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(cm.table(spark, sf_dir, "documents"), cm.table(spark, sf_dir, "labels"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -77,6 +90,35 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(c.reach) AS compon
 FROM s JOIN c ON c.node = s.doc_id GROUP BY s.doc_id, s.sh
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM t),
+g AS (
+  SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) ks)
+  GROUP BY ALL),
+f AS (SELECT * FROM g WHERE f >= 30),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+s AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+c AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS cut FROM s),
+d AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, p.f AS l, q.f AS r, (2000000::HUGEINT * c.a) // (p.f + q.f) AS score
+  FROM c JOIN f p ON p.lang = c.lang AND p.phrase = array_to_string(c.ws[1:c.cut], ' ')
+  JOIN f q ON q.lang = c.lang AND q.phrase = array_to_string(c.ws[c.cut+1:], ' ')),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (
+  SELECT lang, array_to_string(ws[j:j+m-1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM s)) GROUP BY ALL),
+o AS (
+  SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM o)
+SELECT z.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n.n, CAST(score AS BIGINT) AS score
+FROM z JOIN n ON n.lang = z.lang WHERE rank <= 2000
+"""
+
 QUERIES = {
     "op1_kdtree_topk": (op1_kdtree_topk, OP1_SQL),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, OP2_SQL),
@@ -88,4 +130,7 @@ QUERIES = {
     "op8_byte_gru": (op8_byte_gru, None),
     "op9_ranked_token_files": (op9_ranked_token_files, None),
     "op10_one_permutation_minhash": (op10_one_permutation_minhash, None),
+    "op11_weighted_whitening": (op11_weighted_whitening, None),
+    "op12_phrase_collocations": (op12_phrase_collocations, OP12_SQL),
+    "op13_nonnegative_toxicity": (op13_nonnegative_toxicity, None),
 }
