@@ -18,19 +18,21 @@ cut belong to the second block; other input columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cutledger.llm import common as cm, hashing
 
 SHARDS, LONGEST, LEAST, TOP = 4, 4, 30, 2000
-SLOTS, NEVER = 1 << 22, 30_000
-#: Words of a block, and bytes of a text that are cut into words at once.
-BLOCK_WORDS, SEGMENT = 200_000, 1 << 20
+SLOTS, NEVER = 1 << 22, 255
+#: Words of a block at least, if its task has as many, and bytes of a text that are cut into words at once.
+BLOCK_WORDS, SEGMENT = 1_000_000, 1 << 20
 UNKNOWN = "und"
 #: Lower-cases A-Z; makes every mark between pieces a line feed, and the tab a blank.
 LETTERS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -112,7 +114,7 @@ def write_blocks(docs: DataFrame, path: str, shards: int = SHARDS, block_words:
                     own.add(part)
                     yield from full(block_words)
                 own.add(b"\n")
-                if sum(b.held for b in builders.values()) >= 8 * block_words:
+                if sum(b.held for b in builders.values()) >= 4 * block_words:
                     yield from full(1)
                     builders.clear()
         yield from full(1)
@@ -121,8 +123,8 @@ def write_blocks(docs: DataFrame, path: str, shards: int = SHARDS, block_words:
     rows.mapInArrow(run, BLOCK_DDL).write.option("parquet.block.size", 16 << 20).partitionBy("shard").parquet(path)
 
 
-def active(since: np.ndarray, scan: int, shards: int) -> np.ndarray:
-    return (since <= scan) & (scan < since + shards)
+def active(start: np.ndarray, scan: int, shards: int) -> np.ndarray:
+    return (start <= scan) & (start > scan - shards)
 
 
 def count_block(lang: str, words: list[str], ids: np.ndarray, lead: int, scan: int, shards: int, since: list[np.ndarray], lengths: list[int]) -> Iterator[tuple]:
@@ -138,7 +140,7 @@ def count_block(lang: str, words: list[str], ids: np.ndarray, lead: int, scan: i
             start = np.maximum(slots[:-1], slots[1:])
             part, begin = hashing.pair(part[:-1], named[ids][k - 1 :]), begin[:-1] & live[k - 1 :]
         else:
-            start = np.zeros(len(ids), np.int16)
+            start = np.zeros(len(ids), np.uint8)
         if k not in lengths:
             continue
         keep = begin & active(start, scan, shards)
@@ -154,14 +156,13 @@ def count_block(lang: str, words: list[str], ids: np.ndarray, lead: int, scan: i
         yield k, start[first], h, text, n
 
 
-def counted(blocks: DataFrame, scan: int, shards: int, since: list[np.ndarray], lengths: list[int]) -> DataFrame:
+def counted(blocks: DataFrame, scan: int, shards: int, shared: Broadcast, lengths: list[int]) -> DataFrame:
     """``COUNT_DDL`` rows of the active phrases of a shard, added up by block."""
-    shared = blocks.sparkSession.sparkContext.broadcast(since)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        since = [np.frombuffer(zlib.decompress(z), np.uint8) for z in shared.value]
         for got in batches:
             for lang, lead, words, ids in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                for k, start, h, text, n in count_block(lang, words.decode().split("\n"), np.frombuffer(ids, np.int32), lead, scan, shards, shared.value, lengths):
+                for k, start, h, text, n in count_block(lang, words.decode().split("\n"), np.frombuffer(ids, np.int32), lead, scan, shards, since, lengths):
                     m = len(h)
                     yield pa.RecordBatch.from_arrays([
                         pa.array([lang] * m, pa.string()), pa.array(np.full(m, k, np.int32)), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)),
@@ -179,16 +180,20 @@ def frequent_slots(counts: DataFrame, least: int, longest: int, slots: int) -> l
 
 def frequent(spark: SparkSession, blocks: str, shards: int = SHARDS, least: int = LEAST, longest: int = LONGEST, slots: int = SLOTS) -> str:
     """Path of ``(lang, k, phrase, n)``: all phrases that occur ``least`` times or more, with their exact counts."""
-    since = [np.full(slots, NEVER, np.int16) for _ in range(longest - 1)]
+    if longest * shards >= NEVER:
+        raise ValueError("a scan's number must stay below 255")
+    since = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
     opened: list[set[int]] = [{0}] + [set() for _ in range(longest - 1)]  # scans at which phrases of a length may start
     table, scan = None, 0
     while lengths := [k + 1 for k, starts in enumerate(opened) if any(s <= scan < s + shards for s in starts)]:
         source = spark.read.schema(BLOCK_DDL).parquet(blocks)
-        raw = counted(source.where(F.col("shard") == scan % shards), scan, shards, since, lengths)
+        shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in since])
+        raw = counted(source.where(F.col("shard") == scan % shards), scan, shards, shared, lengths)
         before = spark.read.parquet(table) if table else None
         summed = (raw if before is None else before.unionByName(raw)).groupBy("lang", "k", "start", "h", "phrase").agg(F.sum("n").alias("n"))
         path = cm.scratch_table(spark, "collocations-counts")
         summed.where((F.col("n") >= least) | (F.col("start") + shards - 1 > scan)).write.parquet(path)
+        shared.destroy()
         if table:
             cm.drop_table(spark, table)
         table, scan = path, scan + 1
