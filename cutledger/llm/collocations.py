@@ -32,12 +32,12 @@ from cutledger.llm import common as cm, hashing
 SHARDS, LONGEST, LEAST, TOP = 4, 4, 30, 2000
 SLOTS, NEVER = 1 << 22, 255
 #: Words of a block at least, if its task has as many, and bytes of a text that are cut into words at once.
-BLOCK_WORDS, SEGMENT = 1_000_000, 1 << 20
+BLOCK_WORDS, SEGMENT = 500_000, 1 << 20
 UNKNOWN = "und"
 #: Lower-cases A-Z; makes every mark between pieces a line feed, and the tab a blank.
 LETTERS = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BLOCK_DDL = "shard int, lang string, n_words long, lead int, words binary, ids binary"
-COUNT_DDL = "lang string, k int, start int, h long, phrase string, n long"
+COUNT_DDL = "k int, start int, h long, n long"
 
 
 class Vocabulary(dict):
@@ -127,85 +127,115 @@ def active(start: np.ndarray, scan: int, shards: int) -> np.ndarray:
     return (start <= scan) & (start > scan - shards)
 
 
-def count_block(lang: str, words: list[str], ids: np.ndarray, lead: int, scan: int, shards: int, since: list[np.ndarray], lengths: list[int]) -> Iterator[tuple]:
-    """``(k, start, h, phrases, n)`` arrays of the phrases of a block that are active in this scan."""
+def hashed(lang: str, words: list[str], ids: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length the hash of the phrase that starts at a place, and whether one does; words of different languages differ."""
     seed = xxhash.xxh64_intdigest(lang)
-    named = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
-    spelled = np.array(["", *words], object)
-    live, mask = ids > 0, np.uint64(len(since[0]) - 1)
-    part, begin = named[ids], live
-    for k in range(1, max(lengths) + 1):
-        if k > 1:
-            slots = since[k - 2][(part & mask).astype(np.int64)]
+    named, begin = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)[ids], ids > 0
+    part, live = named, begin
+    yield part, begin
+    for k in range(2, longest + 1):
+        part, begin = hashing.pair(part[:-1], named[k - 1 :]), begin[:-1] & live[k - 1 :]
+        yield part, begin
+
+
+def slots_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(h & np.uint64(len(table) - 1)).astype(np.int64)]
+
+
+def count_block(lang: str, words: list[str], ids: np.ndarray, lead: int, scan: int, shards: int, since: list[np.ndarray], lengths: list[int]) -> Iterator[tuple]:
+    """``(k, start, h, n)`` arrays of the phrases of a block that are active in this scan."""
+    shorter = None
+    for k, (part, begin) in enumerate(hashed(lang, words, ids, max(lengths)), 1):
+        if k in lengths:
+            slots = np.zeros(len(part) + 1, np.uint8) if shorter is None else slots_of(shorter, since[k - 2])
             start = np.maximum(slots[:-1], slots[1:])
-            part, begin = hashing.pair(part[:-1], named[ids][k - 1 :]), begin[:-1] & live[k - 1 :]
-        else:
-            start = np.zeros(len(ids), np.uint8)
-        if k not in lengths:
-            continue
-        keep = begin & active(start, scan, shards)
-        keep[: max(0, lead - k + 1)] = False
-        at = np.flatnonzero(keep)
-        if not len(at):
-            continue
-        h, first, n = np.unique(part[at], return_index=True, return_counts=True)
-        first = at[first]
-        text = spelled[ids[first]]
-        for j in range(1, k):
-            text = text + " " + spelled[ids[first + j]]
-        yield k, start[first], h, text, n
+            keep = begin & active(start, scan, shards)
+            keep[: max(0, lead - k + 1)] = False
+            h, first, n = np.unique(part[keep], return_index=True, return_counts=True)
+            yield k, start[keep][first], h, n
+        shorter = part
+
+
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for got in batches:
+        for lang, lead, words, ids in zip(*(c.to_pylist() for c in got.columns), strict=True):
+            yield lang, lead, words.decode().split("\n"), np.frombuffer(ids, np.int32)
 
 
 def counted(blocks: DataFrame, scan: int, shards: int, shared: Broadcast, lengths: list[int]) -> DataFrame:
     """``COUNT_DDL`` rows of the active phrases of a shard, added up by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         since = [np.frombuffer(zlib.decompress(z), np.uint8) for z in shared.value]
-        for got in batches:
-            for lang, lead, words, ids in zip(*(c.to_pylist() for c in got.columns), strict=True):
-                for k, start, h, text, n in count_block(lang, words.decode().split("\n"), np.frombuffer(ids, np.int32), lead, scan, shards, since, lengths):
-                    m = len(h)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * m, pa.string()), pa.array(np.full(m, k, np.int32)), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)),
-                        pa.array(text, pa.string()), pa.array(n.astype(np.int64))], names=["lang", "k", "start", "h", "phrase", "n"])
+        for lang, lead, words, ids in each_block(batches):
+            for k, start, h, n in count_block(lang, words, ids, lead, scan, shards, since, lengths):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(h), k, np.int32)), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "start", "h", "n"])
 
     return blocks.select("lang", "lead", "words", "ids").mapInArrow(run, COUNT_DDL)
 
 
-def frequent_slots(counts: DataFrame, least: int, longest: int, slots: int) -> list:
-    """``(k, word, bits)``: which slots hold a frequent phrase, 64 slots a row, so at most ``slots / 64`` rows a length."""
+def spelled(blocks: DataFrame, shared: Broadcast, longest: int) -> DataFrame:
+    """``(lang, k, h, phrase)`` of the phrases whose slot holds a frequent one, once for each block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = [np.unpackbits(np.frombuffer(zlib.decompress(z), np.uint8), bitorder="little").astype(bool) for z in shared.value]
+        for lang, _, words, ids in each_block(batches):
+            texts = np.array(["", *words], object)
+            for k, (part, begin) in enumerate(hashed(lang, words, ids, longest), 1):
+                at = np.flatnonzero(begin & slots_of(part, wanted[k - 1]))
+                h, first = np.unique(part[at], return_index=True)
+                text = texts[ids[at[first]]]
+                for j in range(1, k):
+                    text = text + " " + texts[ids[at[first] + j]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(h), pa.string()), pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(text, pa.string())], names=["lang", "k", "h", "phrase"])
+
+    return blocks.select("lang", "lead", "words", "ids").mapInArrow(run, "lang string, k int, h long, phrase string")
+
+
+def frequent_slots(counts: DataFrame, least: int, longest: int, slots: int) -> np.ndarray:
+    """Bytes of a bit for each slot of each length: whether it holds a frequent phrase. At most ``slots / 64`` rows a length are collected."""
     slot = F.col("h").bitwiseAND(F.lit(slots - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    return counts.where((F.col("n") >= least) & (F.col("k") < longest)).groupBy("k", F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect()
+    held = counts.where((F.col("n") >= least) & (F.col("k") <= longest)).groupBy("k", F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bits = np.zeros((longest, slots // 64), np.int64)
+    for r in held.collect():
+        bits[r["k"] - 1, r["word"]] = r["bits"]
+    return bits.view(np.uint8)
 
 
-def frequent(spark: SparkSession, blocks: str, shards: int = SHARDS, least: int = LEAST, longest: int = LONGEST, slots: int = SLOTS) -> str:
-    """Path of ``(lang, k, phrase, n)``: all phrases that occur ``least`` times or more, with their exact counts."""
+def frequent(spark: SparkSession, blocks: str, shards: int = SHARDS, least: int = LEAST, longest: int = LONGEST, slots: int = SLOTS) -> DataFrame:
+    """``(lang, k, phrase, n)``: all phrases that occur ``least`` times or more, with their exact counts."""
     if longest * shards >= NEVER:
         raise ValueError("a scan's number must stay below 255")
+    source = spark.read.schema(BLOCK_DDL).parquet(blocks)
     since = [np.full(slots, NEVER, np.uint8) for _ in range(longest - 1)]
     opened: list[set[int]] = [{0}] + [set() for _ in range(longest - 1)]  # scans at which phrases of a length may start
     table, scan = None, 0
     while lengths := [k + 1 for k, starts in enumerate(opened) if any(s <= scan < s + shards for s in starts)]:
-        source = spark.read.schema(BLOCK_DDL).parquet(blocks)
         shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in since])
         raw = counted(source.where(F.col("shard") == scan % shards), scan, shards, shared, lengths)
         before = spark.read.parquet(table) if table else None
-        summed = (raw if before is None else before.unionByName(raw)).groupBy("lang", "k", "start", "h", "phrase").agg(F.sum("n").alias("n"))
+        summed = (raw if before is None else before.unionByName(raw)).groupBy("k", "start", "h").agg(F.sum("n").alias("n"))
         path = cm.scratch_table(spark, "collocations-counts")
         summed.where((F.col("n") >= least) | (F.col("start") + shards - 1 > scan)).write.parquet(path)
         shared.destroy()
         if table:
             cm.drop_table(spark, table)
         table, scan = path, scan + 1
-        bits = np.zeros((longest - 1, slots // 64), np.int64)
-        for r in frequent_slots(spark.read.parquet(table), least, longest, slots):
-            bits[r["k"] - 1, r["word"]] = r["bits"]
+        bits = frequent_slots(spark.read.parquet(table), least, longest - 1, slots)
         for k in range(longest - 1):
-            new = np.unpackbits(bits[k].view(np.uint8), bitorder="little").astype(bool) & (since[k] == NEVER)
+            new = np.unpackbits(bits[k], bitorder="little").astype(bool) & (since[k] == NEVER)
             if new.any():
                 since[k][new] = scan
                 opened[k + 1].add(scan)
-    return table
+    counts = spark.read.parquet(table)
+    shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in frequent_slots(counts, least, longest, slots)])
+    names = spelled(source, shared, longest).distinct()
+    path = cm.scratch_table(spark, "collocations-frequent")
+    names.join(counts.select("k", "h", "n"), ["k", "h"]).select("lang", "k", "phrase", "n").write.parquet(path)
+    shared.destroy()
+    cm.drop_table(spark, table)
+    return spark.read.parquet(path)
 
 
 def scored(found: DataFrame) -> DataFrame:
@@ -237,7 +267,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, shards: in
     blocks = cm.scratch_table(spark, "collocations-blocks")
     write_blocks(docs, blocks, shards, block_words)
     words = cm.saved(spark.read.schema(BLOCK_DDL).parquet(blocks).groupBy("lang").agg(F.sum("n_words").alias("n")))
-    found = spark.read.parquet(frequent(spark, blocks, shards, least, slots=slots))
+    found = frequent(spark, blocks, shards, least, slots=slots)
     cm.drop_table(spark, blocks)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     # Ranked in 64 parts of a language first, so that the last ranking sees 64 * top rows of it at most.
