@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cutledger.llm import common as cm
@@ -24,6 +25,8 @@ from cutledger.llm import common as cm
 TRAIN_ROWS, CHUNK, LANES = 3000, 96, 512
 HIDDEN, STEPS, BATCH, RATE = 8, 160, 64, 0.03
 UNKNOWN = "und"
+#: Bytes of text read from a batch at a time.
+ROOM = 1 << 22
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -222,21 +225,48 @@ def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, size: int = CHUNK) -> Netwo
     return train([(r["part"].encode()[:size], r["g"]) for r in cm.least_hashes(distinct, max_rows)], size=size)
 
 
+def judged(net: Network | None, texts: pa.Array, letters: pa.Array) -> tuple[list[str], list[float]]:
+    """Language and score of each text; ``letters`` says which have one."""
+    made = pc.if_else(letters, texts, None).to_pylist()
+    if net is None:
+        return [UNKNOWN] * len(made), [0.0] * len(made)
+    p = predict(net, [(t or "").encode() for t in made])
+    langs = [net.langs[i] if t is not None else UNKNOWN for i, t in zip(p.argmax(axis=1), made, strict=True)]
+    return langs, [float(min(1.0, s)) if t is not None else 0.0 for s, t in zip(p.max(axis=1, initial=0), made, strict=True)]
+
+
+def with_letters() -> F.Column:
+    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(docs: DataFrame, net: Network | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` of every whole text."""
     cols = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            texts = got.column(got.num_columns - 1).to_pylist()
-            if net is None:
-                langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            else:
-                p = predict(net, [(t or "").encode() for t in texts])
-                langs = [net.langs[i] if t is not None else UNKNOWN for i, t in zip(p.argmax(axis=1), texts, strict=True)]
-                scores = [float(min(1.0, s)) if t is not None else 0.0 for s, t in zip(p.max(axis=1, initial=0), texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*got.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             names=[*got.schema.names[:-1], "lang_pred", "score"])
-
-    letters = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    return docs.select(*keep, letters.alias("__text")).mapInArrow(run, ", ".join([*cols, "lang_pred string", "score double"]))
+            *kept, texts, letters = got.columns
+            for a, b in cm.slices(texts, ROOM):
+                langs, scores = judged(net, texts.slice(a, b - a), letters.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                                                 names=[*got.schema.names[:-2], "lang_pred", "score"])
+
+    return docs.select(*keep, F.col("text").alias("__text"), with_letters().alias("__letters")).mapInArrow(run, ", ".join([*cols, "lang_pred string", "score double"]))
+
+
+def told(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
+    """The rows of ``docs``, as they are, whose language gets ``least`` of their positions; null text and text without a letter go.
+
+    Every text travels once, and a few megabytes of a batch are read at a time. Without a network no language can be told, so no row stays.
+    """
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            rows = pa.RecordBatch.from_arrays(got.columns[:-1], names=names)
+            for a, b in cm.slices(rows.column(at), ROOM):
+                langs, scores = judged(net, rows.column(at).slice(a, b - a), got.column(len(names)).slice(a, b - a))
+                yield rows.slice(a, b - a).filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
+
+    return docs.select(*[F.col(f"`{n}`") for n in names], with_letters().alias("__letters")).mapInArrow(run, docs.schema)

@@ -33,6 +33,8 @@ from cutledger.llm import common as cm, hashing
 from cutledger.llm.jaccard_join import keyed
 
 LENGTH, GRAM = 400, 100
+#: Bytes of the passages that are reported beside the repeats of ``LENGTH`` bytes, and of the identifiers they are found by.
+PASSAGE, PASSAGE_GRAM = 150, 50
 #: Stretches one task sorts together at most, some hundred bytes and windows each; and how many are taken at a time.
 HOT, CHUNK = 16_384, 2048
 SEGMENT = 1 << 22
@@ -59,8 +61,8 @@ def segments(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, data[at : at + SEGMENT + length - 1]
 
 
-def as_bytes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+def as_bytes(text: str | bytes) -> np.ndarray:
+    return np.frombuffer(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
 def first_buckets(rows: DataFrame, length: int, gram: int) -> DataFrame:
@@ -219,7 +221,12 @@ def refine_hot(found: DataFrame, length: int, gram: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """``(th, copies, runs)`` for every text that may lose bytes: its number of copies and its runs of repeated windows."""
-    rows = keyed(docs).where(F.octet_length("text") >= length)
+    return repeats_of(keyed(docs), length, gram, hot)
+
+
+def repeats_of(rows: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
+    """``repeats`` of ``(doc_id, th, text)`` rows; texts may be binary."""
+    rows = rows.where(F.octet_length("text") >= length)
     buckets = first_buckets(rows, length, gram)
     shared = buckets.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("times").alias("times"), F.sum("times").alias("n")).where(
         "lo <> hi OR times > 1").select("anchor", (F.col("n") > hot).alias("hot"))
@@ -235,7 +242,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
         found = cm.saved(found)
         runs = refine_buckets(found.where(~F.col("hot")), length, gram).union(refine_hot(found.where("hot"), length, gram))
     gathered = runs.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    return cm.saved(texts.select("th", "copies").join(gathered, "th", "left").where("copies > 1 OR runs IS NOT NULL"))
+    return cm.saved(texts.select("th", "copies", F.col("one.doc_id").alias("one")).join(gathered, "th", "left").where("copies > 1 OR runs IS NOT NULL"))
 
 
 def removed_mask(size: int, copies: int | None, runs: list | None, length: int) -> np.ndarray:
@@ -249,27 +256,74 @@ def removed_mask(size: int, copies: int | None, runs: list | None, length: int)
     return np.cumsum(depth[:-1]) > 0
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row: bytes, bytes removed, removed runs and the digest of what is kept."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+def joined_runs(runs: list) -> list[tuple[int, int]]:
+    """Runs that touch or overlap made one, in order."""
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted((r["start"], r["stop"]) for r in runs):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def regions(docs: DataFrame, found: DataFrame, short: int, length: int) -> DataFrame:
+    """``(owner, at, th, text)``: the stretches of distinct texts that can hold a repeat of ``length`` bytes.
+
+    All windows of ``short`` bytes in such a repeat are repeated too, so it lies in a run of at least
+    ``length - short + 1`` of them, and so does its other place.
+    """
+    out = pa.schema([("owner", pa.int64()), ("at", pa.int64()), ("text", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            for owner, text, runs in zip(*(c.to_pylist() for c in got.columns), strict=True):
+                data = as_bytes(text)
+                made = [(owner, a, data[a : b - 1 + short].tobytes()) for a, b in joined_runs(runs) if b - a > length - short]
+                yield cm.batch(out, {n: [m[k] for m in made] for k, n in enumerate(out.names)})
+
+    one = keyed(docs).join(found.where("runs IS NOT NULL").select("th", "one", "runs"), "th").where(F.col("doc_id").eqNullSafe(F.col("one")))
+    once = one.select("th", "text", "runs").mapInArrow(run, "owner long, at long, text binary").dropDuplicates(["owner", "at"])
+    path = cm.scratch_table(docs.sparkSession, "suffix-regions")
+    once.select("owner", "at", F.xxhash64("text").alias("th"), "text").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def longer_repeats(docs: DataFrame, found: DataFrame, short: int, length: int, gram: int) -> DataFrame:
+    """``(th, longer)``: the runs of repeated windows of ``length`` bytes, refined from those of ``short`` bytes in ``found``."""
+    parts = regions(docs, found, short, length)
+    inner = repeats_of(parts.select(F.xxhash64("owner", "at").alias("doc_id"), "th", "text"), length, gram)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), (F.octet_length("text") - length + 1).cast("long").alias("stop")))
+    runs = F.when(F.col("copies") > 1, whole).otherwise(F.col("runs"))
+    placed = parts.join(inner, "th").select(F.col("owner").alias("th"), F.explode(F.transform(
+        runs, lambda r: F.struct((r["start"] + F.col("at")).alias("start"), (r["stop"] + F.col("at")).alias("stop")))).alias("r"))
+    return placed.groupBy("th").agg(F.collect_list("r").alias("longer"))
+
+
+def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """Per row: bytes, bytes removed, removed runs and the digest of what is kept; and bytes and runs of repeats from ``passage`` bytes."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
+                     ("n_passage_bytes", pa.int64()), ("n_passages", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             rows = []
-            for key, text, copies, runs in zip(*(got.column(k).to_pylist() for k in range(4)), strict=True):
+            for key, text, copies, runs, longer in zip(*(c.to_pylist() for c in got.columns), strict=True):
                 data = as_bytes(text)
-                gone = removed_mask(len(data), copies, runs, length)
-                rows.append((key, len(data), int(gone.sum()), len(runs_of(gone)[0]), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
+                gone, again = removed_mask(len(data), copies, longer, length), removed_mask(len(data), copies, runs, passage)
+                rows.append((key, len(data), int(gone.sum()), len(runs_of(gone)[0]), hashlib.sha256(data[~gone].tobytes()).hexdigest(), int(again.sum()), len(runs_of(again)[0])))
             yield cm.batch(out, {n: [r[k] for r in rows] for k, n in enumerate(out.names)})
 
-    joined = keyed(docs).join(repeats(docs, length), "th", "left").select("doc_id", "text", "copies", "runs")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeats(docs, passage, PASSAGE_GRAM)
+    longer = longer_repeats(docs, found, passage, length, GRAM)
+    joined = keyed(docs).join(found.join(longer, "th", "left"), "th", "left").select("doc_id", "text", "copies", "runs", "longer")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with repeated bytes removed from ``text``; a character cut in two goes whole, ``n_chars`` follows."""
     names = docs.columns
-    found = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")).join(repeats(docs, length, gram).withColumnsRenamed({"th": "__th", "copies": "__copies", "runs": "__runs"}), "__th", "left")
+    found = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__th")).join(repeats(docs, length, gram).drop("one").withColumnsRenamed({"th": "__th", "copies": "__copies", "runs": "__runs"}), "__th", "left")
     schema = found.select(*[F.col(f"`{n}`") for n in names]).schema
     at = names.index("text")
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from cutledger.llm import common as cm
 
 BLOCK_IDS = 4_000_000
+#: Ids below this are counted by number.
+DENSE = 1 << 22
 #: Lengths of the four ranks behind each control byte: two bits each, lowest first, one more than the bits say.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -35,11 +37,16 @@ BLOCK_DDL = (
 def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """``(table, control, data)`` of an id array."""
     ids = np.asarray(ids, dtype=np.uint32)
-    known, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and ids.max() < DENSE:  # the ids of a vocabulary: counted and looked up by number, without a sort
+        counts = np.bincount(ids)
+        known, at = np.flatnonzero(counts), ids
+        counts = counts[known]
+    else:
+        known, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((known, -counts))
-    rank_of = np.empty(len(known), dtype=np.uint32)
-    rank_of[order] = np.arange(len(known), dtype=np.uint32)
-    ranks = rank_of[inverse]
+    rank_of = np.empty(int(known[-1]) + 1 if at is ids and len(known) else len(known), dtype=np.uint32)
+    rank_of[known[order] if at is ids else order] = np.arange(len(known), dtype=np.uint32)
+    ranks = rank_of[at]
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(ids) // 4) * 4, dtype=np.uint8)
     padded[: len(ids)] = size - 1
@@ -67,7 +74,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, bl
     """Tokenize ``(doc_id, text)`` and write its blocks to ``path`` in ascending ``doc_id`` order."""
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id", F.xxhash64("text"))
+        .repartitionByRange("doc_id", F.substring("text", 1, 64))  # in the order of the sort, so rows of one doc_id may spread
         .sortWithinPartitions("doc_id", "text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

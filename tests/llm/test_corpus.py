@@ -344,7 +344,16 @@ def test_suffix_dedup(table):
                 gone[i : i + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
         want.append((k, len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), sha(kept)))
-    same(rows(suffix_dedup.digests(table), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), want)
+    got = suffix_dedup.digests(table)
+    same(rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), want)
+    seen, passages = Counter(hash(b[i : i + 150]) for b in raw for i in range(len(b) - 149)), []
+    for (k, _), b in zip(keyed, raw, strict=True):
+        again = bytearray(len(b))
+        for i in range(len(b) - 149):
+            if seen[hash(b[i : i + 150])] > 1:
+                again[i : i + 150] = b"\1" * 150
+        passages.append((k, sum(again), len([x for x in bytes(again).split(b"\0") if x])))
+    same(rows(got, "doc_id", "n_passage_bytes", "n_passages"), passages)
     stripped = suffix_dedup.strip(table)
     assert stripped.columns == table.columns and stripped.count() == table.count()
 
@@ -359,8 +368,32 @@ def test_suffix_dedup_hot_buckets_agree(docs, spark):
     assert spread(usual) == spread(hot) and len(spread(hot)) == 40
 
 
+def test_told_keeps_rows_as_they_are(docs, spark):
+    net = langid.fit(docs)
+    clash = frame(spark).withColumns({"lang_pred": F.lit("x"), "__text": F.lit(1)}).repartition(3)
+    kept = langid.told(clash, net, 0.3)
+    assert kept.schema == clash.schema
+    want = {r["row"]["doc_id"] for r in langid.identify(clash.select(F.struct("*").alias("row"), "text"), net, keep=("row",)).where("lang_pred <> 'und' AND score >= 0.3").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.where("text IS NULL OR text = ''").count() == 0
+    assert langid.told(clash, None, 0.3).count() == 0 and langid.told(clash.limit(0), net, 0.3).count() == 0
+
+
+def test_rows_of_one_id_over_partitions(spark):
+    from tokenizers import Tokenizer
+
+    path = cm.vocabulary("byte_bpe_50k.json")
+    texts = [f"row {i * 37 % 60} " + "word " * (i % 7 + 1) for i in range(60)]
+    df = frame(spark, [(5, t, "en") for t in texts]).repartition(4)
+    at, want = 0, []
+    for t in sorted(texts, key=str.encode):
+        ids = np.array([*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
+        want.append((5, at, len(ids) // 4, zlib.crc32(ids)))
+        at += len(ids) // 4
+    same(rows(varint_ids.token_files(df, path), "doc_id", "start", "n_tokens", "ids_crc32"), want)
+
+
 def test_language_id(docs, spark, table):
-    got = langid.identify(docs, langid.fit(docs), keep=("doc_id", "lang"))
+    got = langid.identify(docs, langid.fit(docs), keep=("doc_id", "lang")).where(langid.held_out(F.col("doc_id")))
     right = got.where("lang IS NOT NULL AND lang_pred <> 'und'").select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert right > 0.95
     some = langid.identify(table, langid.fit(docs), keep=("doc_id", "lang")).collect()
