@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from cutledger.llm import common as cm, jaccard_join, langid, packing, secrets, suffix_dedup
 
@@ -15,9 +15,7 @@ PASSAGE, PASSAGE_GRAM = 150, 50
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop rows whose language can't be told."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    found = langid.identify(rows, langid.fit(docs), keep=("row",))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return langid.told(docs, langid.fit(docs), LEAST_SCORE)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
