@@ -55,6 +55,25 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Scratch:
+    """Tables in the shared folder that are dropped when the result that needed them has been written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read back, cut off from its lineage."""
+        self.paths.append(scratch_table(self.spark, self.name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self, paths: list[str] | None = None) -> None:
+        """Delete these tables, or all."""
+        for path in list(self.paths if paths is None else paths):
+            drop_table(self.spark, path)
+            self.paths.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

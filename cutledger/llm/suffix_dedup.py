@@ -65,7 +65,7 @@ def as_bytes(text: str | bytes) -> np.ndarray:
     return np.frombuffer(text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def first_buckets(rows: DataFrame, length: int, gram: int) -> DataFrame:
+def first_buckets(rows: DataFrame, length: int, gram: int, scratch: cm.Scratch) -> DataFrame:
     """``(anchor, th, times)``: buckets each distinct text puts its chosen suffixes in."""
     out = pa.schema([("anchor", pa.int64()), ("th", pa.int64()), ("times", pa.int32())])
 
@@ -86,7 +86,7 @@ def first_buckets(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*cols, strict=True), out, strict=True)], schema=out)
 
-    return cm.saved(rows.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(run, "anchor long, th long, times int"))
+    return scratch.keep(rows.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(run, "anchor long, th long, times int"))
 
 
 def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -190,7 +190,7 @@ def refine_buckets(found: DataFrame, length: int, gram: int) -> DataFrame:
     return found.select("anchor", "th", "start", "windows", "cid", "stretch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "th long, start long, stop long")
 
 
-def refine_hot(found: DataFrame, length: int, gram: int) -> DataFrame:
+def refine_hot(found: DataFrame, length: int, gram: int, scratch: cm.Scratch) -> DataFrame:
     """The same runs for hot buckets, by counting the bytes that ranges of windows have in common and span.
 
     A window is known by its distance before the chosen suffix, so equal windows lie in equal ranges.
@@ -202,15 +202,18 @@ def refine_hot(found: DataFrame, length: int, gram: int) -> DataFrame:
     keep = ["th", "start", "windows", "place", "stretch", "known"]
     ranges = found.dropDuplicates(["th", "start"]).withColumn("known", F.lit(False)).select(*keep, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi"))
     done: DataFrame | None = None
+    read: list[str] = []
     while True:
-        named = cm.saved(ranges.withColumns({"core": part(place - lo, F.lit(length) - (hi - lo)), "hull": F.when(covered, part(place - hi, F.lit(length) + (hi - lo)))}))
+        named = scratch.keep(ranges.withColumns({"core": part(place - lo, F.lit(length) - (hi - lo)), "hull": F.when(covered, part(place - hi, F.lit(length) + (hi - lo)))}))
+        scratch.drop(read)
         if named.isEmpty():
             return done if done is not None else named.select("th", "start", F.col("start").alias("stop"))
         first = F.min(F.struct("th", "start")).alias("first")
         shared = named.groupBy("core").agg(F.count("*").alias("n"), F.bool_or(~F.col("known")).alias("open")).where("n > 1 AND open").select("core")
         whole = named.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n"), first).where("n > 1").select("hull", "first")
-        rated = cm.saved(named.join(shared, "core").join(whole, "hull", "left").withColumn("all", F.col("first").isNotNull()))
-        made = rated.where("all AND NOT known").select("th", (F.col("start") + place - hi).alias("start"), (F.col("start") + place - lo + 1).alias("stop"))
+        rated = scratch.keep(named.join(shared, "core").join(whole, "hull", "left").withColumn("all", F.col("first").isNotNull()))
+        read = scratch.paths[-2:]
+        made = scratch.keep(rated.where("all AND NOT known").select("th", (F.col("start") + place - hi).alias("start"), (F.col("start") + place - lo + 1).alias("stop")))
         done = made if done is None else done.union(made)
         # Ranges found repeated go on as partners of others, one for each content; the rest is halved.
         onward = rated.where((lo < hi) & (~F.col("all") | (F.struct("th", "start") == F.col("first")))).withColumn("known", F.col("known") | F.col("all"))
@@ -227,11 +230,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 def repeats_of(rows: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
     """``repeats`` of ``(doc_id, th, text)`` rows; texts may be binary."""
     rows = rows.where(F.octet_length("text") >= length)
-    buckets = first_buckets(rows, length, gram)
+    scratch = cm.Scratch(rows.sparkSession, "suffix-dedup")
+    buckets = first_buckets(rows, length, gram, scratch)
     shared = buckets.groupBy("anchor").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.max("times").alias("times"), F.sum("times").alias("n")).where(
         "lo <> hi OR times > 1").select("anchor", (F.col("n") > hot).alias("hot"))
-    shared = cm.saved(shared)
-    texts = cm.saved(rows.groupBy("th").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").alias("doc_id"))).alias("one")))
+    shared = scratch.keep(shared)
+    texts = scratch.keep(rows.groupBy("th").agg(F.count("*").alias("copies"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").alias("doc_id"))).alias("one")))
     listed = buckets.join(shared, "anchor").groupBy("th").agg(
         F.collect_set(F.when(~F.col("hot"), F.col("anchor"))).alias("anchors"), F.collect_set(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
     wanted = listed.join(texts, "th").select("th", "one.doc_id", "anchors", "hot")
@@ -239,10 +243,12 @@ def repeats_of(rows: DataFrame, length: int, gram: int, hot: int = HOT) -> DataF
     if shared.where("hot").isEmpty():
         runs = refine_buckets(found, length, gram)
     else:
-        found = cm.saved(found)
-        runs = refine_buckets(found.where(~F.col("hot")), length, gram).union(refine_hot(found.where("hot"), length, gram))
+        found = scratch.keep(found)
+        runs = refine_buckets(found.where(~F.col("hot")), length, gram).union(refine_hot(found.where("hot"), length, gram, scratch))
     gathered = runs.groupBy("th").agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
-    return cm.saved(texts.select("th", "copies", F.col("one.doc_id").alias("one")).join(gathered, "th", "left").where("copies > 1 OR runs IS NOT NULL"))
+    done = cm.saved(texts.select("th", "copies", F.col("one.doc_id").alias("one")).join(gathered, "th", "left").where("copies > 1 OR runs IS NOT NULL"))
+    scratch.drop()
+    return done
 
 
 def removed_mask(size: int, copies: int | None, runs: list | None, length: int) -> np.ndarray:
