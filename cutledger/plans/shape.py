@@ -132,8 +132,11 @@ def _cost(c: str) -> str:
 
 
 def _fit(plan: DataFrame) -> DataFrame:
-    """Longest prefix of rows within the budget, then squeeze, cut-to-fit or fallback."""
-    rows = _rows(plan)
+    return fit_lines(_rows(plan))
+
+
+def fit_lines(rows: DataFrame) -> DataFrame:
+    """Longest prefix of ``lines`` within the budget, then squeeze, cut-to-fit or fallback."""
     before, after = rd.static_notes(0)
     costed = rows.withColumns({"notes_0": F.expr(before), "tail_0": F.expr(after)}).withColumn(
         "notes_cost", F.expr(f"CASE WHEN o_budget IS NOT NULL THEN {rd.static_cost()} END"))
