@@ -17,7 +17,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cutledger.llm import common as cm
@@ -227,7 +226,7 @@ def fit(docs: DataFrame, max_rows: int = TRAIN_ROWS, size: int = CHUNK) -> Netwo
 
 def judged(net: Network | None, texts: pa.Array, letters: pa.Array) -> tuple[list[str], list[float]]:
     """Language and score of each text; ``letters`` says which have one."""
-    made = pc.if_else(letters, texts, None).to_pylist()
+    made = [t if has else None for t, has in zip(texts.to_pylist(), letters.to_pylist(), strict=True)]
     if net is None:
         return [UNKNOWN] * len(made), [0.0] * len(made)
     p = predict(net, [(t or "").encode() for t in made])

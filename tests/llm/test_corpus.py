@@ -375,6 +375,11 @@ def test_told_keeps_rows_as_they_are(docs, spark):
     assert kept.schema == clash.schema
     want = {r["row"]["doc_id"] for r in langid.identify(clash.select(F.struct("*").alias("row"), "text"), net, keep=("row",)).where("lang_pred <> 'und' AND score >= 0.3").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.where("text IS NULL OR text = ''").count() == 0
+    room, langid.ROOM = langid.ROOM, 100  # many slices of a batch, at any place of it
+    try:
+        assert {r["doc_id"] for r in langid.told(clash.coalesce(1), net, 0.3).collect()} == want
+    finally:
+        langid.ROOM = room
     assert langid.told(clash, None, 0.3).count() == 0 and langid.told(clash.limit(0), net, 0.3).count() == 0
 
 
