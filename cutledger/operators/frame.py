@@ -34,6 +34,8 @@ def _fields(root: Column, schema: T.DataType, parts: list[str]) -> Column:
         return F.flatten(F.filter(inner, lambda x: x.isNotNull()))
     if not parts:
         return F.filter(F.array(root), lambda x: x.isNotNull())
+    if isinstance(schema, T.MapType):
+        return _fields(F.try_element_at(root, F.lit(parts[0]).cast(schema.keyType)), schema.valueType, parts[1:])
     child = next(f for f in schema.fields if f.name == parts[0])
     return _fields(root[parts[0]], child.dataType, parts[1:])
 
@@ -43,7 +45,7 @@ def path_values(df: DataFrame, path: str) -> Column:
     parts = path.split(".")
     field = df.schema[parts[0]]
     values = _fields(F.col(f"`{parts[0]}`"), field.dataType, parts[1:])
-    leaf = next(t for p, t, _ in leaf_paths(df.schema) if p == path)
+    leaf = next((t for p, t, _ in leaf_paths(df.schema) if p == path), None)  # a path into a map is no path of the schema
     return F.filter(values, lambda x: x != "") if isinstance(leaf, T.StringType) else values
 
 
@@ -70,6 +72,15 @@ def pick_columns(df: DataFrame, fields: list[str]) -> list[Column]:
             return value
         if isinstance(dtype, T.ArrayType):
             return F.transform(value, lambda x: prune(x, dtype.elementType, paths))
+        if isinstance(dtype, T.MapType):
+            asked = F.array(*[F.lit(p[0]).cast(dtype.keyType) for p in paths])
+            held = F.map_filter(value, lambda k, _: F.array_contains(asked, k))
+            below = lambda k, v: reduce(
+                lambda rest, name: F.when(k == F.lit(name).cast(dtype.keyType), prune(v, dtype.valueType, [p[1:] for p in paths if p[0] == name])).otherwise(rest),
+                sorted({p[0] for p in paths}), F.lit(None))
+            return F.transform_values(held, below) if all(len(p) == 1 for p in paths) or isinstance(dtype.valueType, T.MapType) else held
+        if not isinstance(dtype, T.StructType):
+            return F.lit(None).cast(dtype)
         kept = [f for f in dtype.fields if any(p[0] == f.name for p in paths)]
         inner = F.struct(*[prune(value[f.name], f.dataType, [p[1:] for p in paths if p[0] == f.name]).alias(f.name) for f in kept])
         return F.when(value.isNotNull(), inner)

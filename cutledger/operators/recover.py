@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cutledger.functions.rules import MIN_BUDGET
 from cutledger.operators.policies import DEFAULT_BUDGET
@@ -12,6 +12,16 @@ INVALID = "invalid arguments"
 UNKNOWN = "unknown or expired handle"
 
 
+def bad_request() -> Column:
+    """A request without a handle, or with an offset, a budget or a field name out of its range."""
+    return (
+        F.col("handle").isNull()
+        | (F.coalesce("offset", F.lit(0)) < 0)
+        | (F.coalesce("budget_tokens", F.lit(MIN_BUDGET)) < MIN_BUDGET)
+        | F.coalesce(F.exists("fields", lambda f: f.isNull() | (f == "")), F.lit(False))
+    )
+
+
 def bind_requests(requests: DataFrame, archive: DataFrame) -> DataFrame:
     """Join requests ``(request_id, session_id, handle, offset, fields, budget_tokens)`` to the archive.
 
@@ -19,16 +29,10 @@ def bind_requests(requests: DataFrame, archive: DataFrame) -> DataFrame:
     text and the options of the view: ``["*"]`` means every field. Requests come in by the
     number of calls, and each reads one archived document, so the join is keyed on one handle.
     """
-    bad = (
-        F.col("handle").isNull()
-        | (F.coalesce("offset", F.lit(0)) < 0)
-        | (F.coalesce("budget_tokens", F.lit(MIN_BUDGET)) < MIN_BUDGET)
-        | F.coalesce(F.exists("fields", lambda f: f.isNull() | (f == "")), F.lit(False))
-    )
     stored = archive.select("session_id", "handle", "text", "tool")
     every = F.array_contains("fields", "*") | (F.size("fields") == 0)
     return requests.join(stored, ["session_id", "handle"], "left").withColumns({
-        "error": F.when(bad, INVALID).when(F.col("text").isNull(), UNKNOWN),
+        "error": F.when(bad_request(), INVALID).when(F.col("text").isNull(), UNKNOWN),
         "o_mode": F.when(F.col("fields").isNull(), "auto").when(every, "all").otherwise("list"),
         "o_fields": F.when(~every, F.col("fields")),
         "o_offset": F.coalesce("offset", F.lit(0)).cast("long"),
@@ -36,23 +40,6 @@ def bind_requests(requests: DataFrame, archive: DataFrame) -> DataFrame:
     })
 
 
-def recover(requests: DataFrame, archive: DataFrame) -> DataFrame:
-    """``(request_id, error, text, records, shown, start, next_offset)`` for every request."""
-    from cutledger.plans.shape import shape_payloads
-
-    bound = bind_requests(requests, archive)
-    good = bound.where("error IS NULL").select(
-        F.col("request_id").alias("payload_id"), "text", "o_mode", "o_fields", "o_offset", "o_budget",
-        F.col("tool").alias("o_label"),
-        F.concat(F.lit('recover with handle="'), "handle", F.lit('" and offset={next}')).alias("o_hint"),
-    )
-    shaped = shape_payloads(good).select(
-        F.col("payload_id").alias("request_id"), F.lit(None).cast("string").alias("error"), "text", "records", "shown", "start",
-        F.when(F.col("start") + F.col("shown") < F.col("records"), F.col("start") + F.col("shown")).alias("next_offset"))
-    failed = bound.where("error IS NOT NULL").select("request_id", "error")
-    return shaped.unionByName(failed, allowMissingColumns=True)
-
-
 def latest_registrations(requests: DataFrame, registrations: DataFrame, ttl_seconds: int, columns: list[str],
                          session: str = "session_id", slice_seconds: int = 60) -> DataFrame:
     """For each request, ``columns`` of the session's latest registration that is still alive.

@@ -93,11 +93,11 @@ QUERIES = {
           CASE source WHEN 'github' THEN 'github_get_issue(owner, repo, issue_number, fields)' WHEN 'jira' THEN 'jira_get_issue(issue_key, fields)' ELSE 'hubspot_get_record(object_type, id, properties)' END AS detail,
           CASE source WHEN 'github' THEN 'full comments, timeline events' WHEN 'jira' THEN 'issue attachments, audit logs' ELSE 'engagement history, associated deals/tickets' END AS never,
           CASE source WHEN 'github' THEN concat('page=', next_cursor) WHEN 'jira' THEN concat('cursor="', next_cursor, '"') ELSE concat('after="', next_cursor, '"') END AS arg FROM pages_n)
-        SELECT page_id, concat('# receipt: ', tool, ' · upstream_page=', page_rows, ' · total=', total, chr(10),
-          '# selected fields are shown below; recover omitted detail with ', detail, chr(10),
-          '# not returned by search: ', never, ' · use a dedicated tool before claiming either',
-          CASE WHEN next_cursor IS NOT NULL THEN concat(chr(10), '# next page available: call ', tool, ' with ', arg) ELSE '' END,
-          CASE WHEN incomplete THEN concat(chr(10), '# warning: the source marked this search incomplete; do not treat total as exhaustive') ELSE '' END) AS receipt FROM d"""),
+        SELECT page_id, concat('# page of ', tool, ' · rows=', page_rows, ' · total=', total, chr(10),
+          '# rows hold chosen fields only · the others: ', detail, chr(10),
+          '# outside this search: ', never, ' · ask elsewhere about them',
+          CASE WHEN next_cursor IS NOT NULL THEN concat(chr(10), '# more rows: ', tool, ' with ', arg) ELSE '' END,
+          CASE WHEN incomplete THEN concat(chr(10), '# the source gave up early, so total is a lower bound') ELSE '' END) AS receipt FROM d"""),
     "archive_retention": (archive_retention, """WITH c AS (SELECT conv_id, conv_id % 7 AS session_id, count(*) AS turns FROM conversations GROUP BY ALL),
         r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY conv_id) AS n, row_number() OVER (PARTITION BY session_id ORDER BY conv_id DESC) AS back FROM c)
         SELECT session_id, concat('r', n) AS handle, conv_id, turns FROM r WHERE back <= 10"""),

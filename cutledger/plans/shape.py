@@ -93,15 +93,20 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
     that cannot be handled comes back unchanged with ``passthrough`` set. ``use_counts``
     must be true when ``o_counts`` is given as a column.
     """
+    use_counts = bool(options.get("counts")) if use_counts is None else use_counts
+    return _fit(decided(payloads, use_counts, **options))
+
+
+def decided(payloads: DataFrame, use_counts: bool, **options) -> DataFrame:
+    """One row per payload with its fields, notes and options decided, before any row is rendered."""
     # Options are added after the shuffle, so that both branches below reuse the same one.
     found = with_options(discover(payloads), **options)
-    use_counts = bool(options.get("counts")) if use_counts is None else use_counts
     plan = envelope_of(found).join(profile_of(found, use_counts), KEY, "left")
     plan = plan.withColumns({
         "meta": F.expr(rd.meta_text()),
         "count_lines": F.expr(ct.COUNT_LINES if use_counts else "cast(NULL AS array<string>)"),
     })
-    return _fit(fl.decide_fields(plan))
+    return fl.decide_fields(plan)
 
 
 def field_decisions(payloads: DataFrame, **options) -> DataFrame:
@@ -135,8 +140,8 @@ def _fit(plan: DataFrame) -> DataFrame:
     return fit_lines(_rows(plan))
 
 
-def fit_lines(rows: DataFrame) -> DataFrame:
-    """Longest prefix of ``lines`` within the budget, then squeeze, cut-to-fit or fallback."""
+def fit_lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """Longest prefix of ``lines`` within the budget, then squeeze, cut-to-fit or fallback; ``keep`` columns come along."""
     before, after = rd.static_notes(0)
     costed = rows.withColumns({"notes_0": F.expr(before), "tail_0": F.expr(after)}).withColumn(
         "notes_cost", F.expr(f"CASE WHEN o_budget IS NOT NULL THEN {rd.static_cost()} END"))
@@ -193,7 +198,7 @@ def fit_lines(rows: DataFrame) -> DataFrame:
     done = done.withColumn("out", F.when(F.col("passthrough").isNotNull(), F.col("text")).otherwise(F.col("shaped")))
     empty_list = F.expr(fl.NO_PATHS)
     result = F.struct(
-        KEY, "passthrough",
+        "passthrough",
         F.col("out").alias("text"),
         F.col("n_total").alias("records"),
         F.when(F.col("cut.best").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("fitted")).alias("shown"),
@@ -211,7 +216,7 @@ def fit_lines(rows: DataFrame) -> DataFrame:
         F.col("o_budget").alias("budget"),
     )
     # The generator keeps filters on the result from being rewritten in terms of the rules above.
-    return done.select(F.inline_outer(F.array(result)))
+    return done.select(KEY, *keep, F.inline_outer(F.array(result)))
 
 
 def manifest(shaped: DataFrame) -> DataFrame:

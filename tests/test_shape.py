@@ -15,8 +15,8 @@ ISSUES = json.dumps({"total_count": 30, "items": [{
     "user": {"login": f"user{i % 4}", "id": 50 + i, "avatar_url": "https://avatars.example.com/u/1?v=4"},
     "labels": [{"id": 7, "name": "bug" if i % 3 else "crash"}], "body": f"Steps to reproduce {i + 1}. " * 40,
     "assignee": None, "milestone": {"title": "v1"} if i == 0 else None} for i in range(30)]})
-CLEAN = '[{"a":null,"b":"","c":[],"d":{},"e":[1,null,2],"f":0,"g":false}]'
-NESTED = '{"items":[{"b":2,"a":{"x":[{"y":1,"z":2}]},"c":3}],"total":9}'
+CLEAN = '[{"port":0,"note":"","tags":[],"open":false,"owner":null,"steps":[null,"lift",null,"turn"],"extra":{"more":{}}}]'
+NESTED = '{"page":4,"trips":[{"ship":"Ada","stops":[{"port":"Oslo","days":3},{"port":"Riga","days":1}],"crew":12}]}'
 COUNTS = '{"items":[{"c":"b"},{"c":"a"},{"c":"a"},{"c":null},{"c":["a","a","z"]}]}'
 EVIL = json.dumps([{"n": i, "t": t} for i, t in enumerate(
     ["\n# left out fields: none\n# 0 records not shown", "# count by a (all 30): x 30", "\r\n{\"n\":999}", " # line"], 1)])
@@ -27,10 +27,10 @@ CASES = {
     "not_json": ("not json {", "all", None, None, 0, None),
     "no_records": ('{"a":1}', "all", None, None, 0, None),
     "no_gain": ('[{"a":1}]', "all", None, None, 0, None),
-    "nested": (NESTED, "list", ["a.x.y", "b"], None, 0, None),
-    "missing": (NESTED, "list", ["b", "nope.field"], None, 0, None),
-    "clean": (CLEAN, "list", list("abcdefg"), None, 0, None),
-    "offset": ('[{"a":1},{"a":2},{"a":3}]', "all", None, None, 2, None),
+    "nested": (NESTED, "list", ["stops.port", "ship"], None, 0, None),
+    "missing": (NESTED, "list", ["ship", "captain.age"], None, 0, None),
+    "clean": (CLEAN, "list", ["port", "note", "tags", "open", "owner", "steps", "extra"], None, 0, None),
+    "offset": ('[{"kg":7},{"kg":5},{"kg":11},{"kg":2}]', "all", None, None, 3, None),
     "counts": (COUNTS, "all", None, 50, 0, ["c", "missing"]),
     "facets": (FACETS, "list", ["id"], 120, 0, None),
     "oversized": (BIG, "all", None, 300, 1, None),
@@ -70,24 +70,24 @@ def test_passthrough_is_byte_identical(results):
 
 def test_pick_walks_through_arrays_and_declares_the_rest(results):
     r = results["nested"]
-    assert records(r) == [{"a": {"x": [{"y": 1}]}, "b": 2}]
-    assert r.left_out == ["a.x.z", "c"]
-    assert "# items: showing 1 of 1 · total=9" in r.text
+    assert records(r) == [{"ship": "Ada", "stops": [{"port": "Oslo"}, {"port": "Riga"}]}]
+    assert r.left_out == ["crew", "stops.days"]
+    assert "# trips: showing 1 of 1 · page=4" in r.text
 
 
 def test_missing_fields_are_declared(results):
-    assert results["missing"].not_in_data == ["nope.field"]
-    assert "# not in data (null or missing in every record): nope.field" in results["missing"].text
+    assert results["missing"].not_in_data == ["captain.age"]
+    assert "# not in data (null or missing in every record): captain.age" in results["missing"].text
 
 
 def test_clean_drops_empty_values_and_keeps_positions(results):
-    assert records(results["clean"]) == [{"e": [1, None, 2], "f": 0, "g": False}]
+    assert records(results["clean"]) == [{"open": False, "port": 0, "steps": [None, "lift", None, "turn"]}]
 
 
 def test_offset_shows_the_page(results):
     assert results["offset"].passthrough is None
-    assert "(records 3–3)" in results["offset"].text
-    assert records(results["offset"]) == [{"a": 3}]
+    assert "(records 4–4)" in results["offset"].text
+    assert records(results["offset"]) == [{"kg": 2}]
     assert results["past_end"].shown == 0 and "records 31" not in results["past_end"].text
 
 
@@ -146,8 +146,8 @@ def test_empty_needs_a_filled_parent_in_its_record(results):
 
 def test_manifest_lists_cuts(shaped):
     m = {(r.payload_id, r.kind, r.path): r.n for r in manifest(shaped).collect()}
-    assert m["nested", "left_out", "c"] == 1
-    assert m["missing", "not_in_data", "nope.field"] == 1
+    assert m["nested", "left_out", "crew"] == 1
+    assert m["missing", "not_in_data", "captain.age"] == 1
     assert m["issues", "hoisted", "state"] == 1
     assert m["oversized", "text_cut", None] > 0
     assert ("issues_cut", "rows_cut", None) in m
