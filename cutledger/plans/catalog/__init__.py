@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cutledger.plans.catalog import budgets, declared, depth, evaluation, fields, parsing, profiles, recovery, sources
+from cutledger.plans.catalog import budgets, calls, declared, depth, evaluation, fields, parsing, profiles, recovery, sources
 
 CATALOG = {
     **sources.QUERIES, **parsing.QUERIES, **depth.QUERIES, **fields.QUERIES, **profiles.QUERIES,
-    **budgets.QUERIES, **recovery.QUERIES, **evaluation.QUERIES, **declared.QUERIES,
+    **budgets.QUERIES, **recovery.QUERIES, **evaluation.QUERIES, **declared.QUERIES, **calls.QUERIES,
 }
