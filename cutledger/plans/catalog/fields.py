@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cutledger.functions import jsonwalk as jw
+from cutledger.functions import requests, jsonwalk as jw
 from cutledger.functions import rules
 from cutledger.operators import fields as fl
 from cutledger.operators import frame
@@ -161,6 +161,29 @@ def scope_conflicts(spark, sf):
     return d.select("doc_id", rules.scope_conflict(F.concat("text", extra)).alias("conflict"))
 
 
+_FORM = """get(array('github_search_issues', 'github_get_issue', 'jira_search_issues', 'jira_get_issue', 'hubspot_search',
+    CASE WHEN c_custkey div 6 % 5 = 4 THEN 'other' ELSE 'hubspot_get_record' END), cast(c_custkey % 6 AS int))"""
+_REPO = '"owner":"acme","repo":"r.1"'
+# The arguments of each form: sound ones and four variations.
+_ARGS = [
+    [f'{{{_REPO},"query":"is open"}}', f'{{{_REPO},"query":"is open","page":#}}', '{"owner":"a b","repo":"r","query":"q"}', f'{{{_REPO},"query":"q","budget_tokens":#}}', f'{{{_REPO},"query":""}}'],
+    [f'{{{_REPO},"issue_number":#,"fields":["body"]}}', f'{{{_REPO},"issue_number":1,"fields":["body","age"]}}', f'{{{_REPO},"issue_number":0,"fields":["body"]}}',
+     f'{{{_REPO},"issue_number":1.5,"fields":["body"]}}', f'{{{_REPO},"issue_number":1}}'],
+    ['{"jql":"project = X"}', '{"jql":"x","cursor":null}', '{"jql":"~"}', '{"jql":"x","budget_tokens":"300"}', '{"jql":"x","session_id":7}'],
+    ['{"issue_key":"A-#","fields":["summary"]}', '{"issue_key":"A-#","fields":[]}', '{"issue_key":"~","fields":["summary"]}', '{"issue_key":"A","fields":"summary"}', '{"issue_key":"A","fields":["summary","summary"]}'],
+    ['{"object_type":"deals"}', '{"object_type":"leads"}', '{"object_type":"deals","properties":["a",1]}', '{"object_type":"deals","properties":[]}', '{"object_type":"deals","after":"x"}'],
+    ['{"object_type":"deals","id":"#","properties":["x"]}', '{"object_type":"deals","id":"#","properties":[]}', '{"object_type":"deals","properties":["x"]}', '[#]', '{}'],
+]
+
+
+def request_forms(spark, sf):
+    """A request of each form for every customer: ``#`` is the customer's number, ``~`` a text of as many characters."""
+    pattern = F.get(F.get(F.array(*[F.array(*map(F.lit, row)) for row in _ARGS]), (F.col("c_custkey") % 6).cast("int")), F.expr("cast(c_custkey div 6 % 5 AS int)"))
+    key = F.col("c_custkey").cast("string")
+    args = F.replace(F.replace(pattern, F.lit("#"), key), F.lit("~"), F.repeat(F.lit("k"), F.col("c_custkey").cast("int")))
+    return T(spark, sf, "customer").select("c_custkey", requests.request_problem(F.expr(_FORM), args).alias("problem"))
+
+
 def valid_requests(spark, sf):
     c = T(spark, sf, "customer")
     owner = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.replace("c_name", F.lit("#"), F.lit("-")))
@@ -197,6 +220,14 @@ _LABELS = """'"labels":[{"name":"' || o_orderstatus || '"},{"name":"' || o_order
 _ASSIGNEE = """CASE WHEN assignee IS NOT NULL THEN '"assignee":{"login":"' || assignee || '"},' ELSE '' END"""
 
 QUERIES = {
+    "request_forms": (request_forms, """WITH c AS (SELECT c_custkey, c_custkey AS k, c_custkey % 6 AS f, c_custkey // 6 % 5 AS j FROM customer)
+        SELECT c_custkey, CASE f
+          WHEN 0 THEN CASE j WHEN 1 THEN CASE WHEN k NOT BETWEEN 1 AND 34 THEN 'page' END WHEN 2 THEN 'owner' WHEN 3 THEN CASE WHEN k NOT BETWEEN 256 AND 8192 THEN 'budget_tokens' END WHEN 4 THEN 'query' END
+          WHEN 1 THEN CASE j WHEN 1 THEN 'fields' WHEN 2 THEN 'issue_number' WHEN 3 THEN 'issue_number' WHEN 4 THEN 'fields' END
+          WHEN 2 THEN CASE j WHEN 1 THEN 'cursor' WHEN 2 THEN CASE WHEN k > 1024 THEN 'jql' END WHEN 3 THEN 'budget_tokens' WHEN 4 THEN 'session_id' END
+          WHEN 3 THEN CASE j WHEN 1 THEN 'fields' WHEN 2 THEN CASE WHEN k > 64 THEN 'issue_key' END WHEN 3 THEN 'fields' END
+          WHEN 4 THEN CASE j WHEN 1 THEN 'object_type' WHEN 2 THEN 'properties' END
+          ELSE CASE j WHEN 1 THEN 'properties' WHEN 2 THEN 'id' WHEN 3 THEN 'args' WHEN 4 THEN 'form' END END AS problem FROM c"""),
     "pick_paths": (pick_paths, f"""WITH {ORD} SELECT payload_id, rec_idx, '{{' || {_ASSIGNEE} || {_LABELS} || ',"number":' || o_orderkey || ',"user":{{"login":"' || login || '"}}}}' AS line FROM ord"""),
     "silent_projection": (silent_projection, f"""WITH {ORD} SELECT payload_id, rec_idx,
         concat('{{"assignee":', CASE WHEN assignee IS NULL THEN 'null' ELSE concat('{{"login":"', assignee, '"}}') END, ',"milestone":"","number":', o_orderkey, ',"user":{{"id":', o_custkey, '}}}}') AS line FROM ord"""),

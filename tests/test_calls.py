@@ -5,9 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from cutledger.functions.requests import request_problem
 from cutledger.functions.tokens import token_count
 from cutledger.operators.frame import path_values, pick_columns
 from cutledger.plans.calls import call_archive, call_results, recover_views
+from cutledger.sources.pages import detail_projection
 
 DEPOTS = json.dumps({"depots": [
     {"no": i, "town": f"Town {i}", "kind": "yard", "report": f"Day {i} passed without news. " * 30} for i in range(1, 25)]})
@@ -143,3 +145,20 @@ def test_paths_into_maps(spark):
     df = spark.sql("SELECT map('a', 1, 'b', 2) AS m, map('x', named_struct('p', 1, 'q', 2)) AS n")
     row = df.select(path_values(df, "m.a").alias("a"), path_values(df, "m.c").alias("c"), path_values(df, "n.x.q").alias("q"), *pick_columns(df, ["m.b"])).first()
     assert (row.a, row.c, row.q, row.m) == ([1], [], [2], {"b": 2})
+
+
+def test_property_names_may_hold_any_character(spark):
+    name = "o'x \\\" $.a"
+    df = spark.createDataFrame([(json.dumps({"id": "7", "properties": {name: 1, "plain": None}}),)], "js string").select(F.try_parse_json("js").alias("rec"))
+    detail = detail_projection(df, "hubspot", [name, "plain", "none"]).first().detail
+    assert json.loads(detail) == {"id": "7", "properties": {name: 1, "plain": None, "none": None}}
+    with pytest.raises(ValueError):
+        detail_projection(df, "jira", ["summary'"])
+
+
+def test_first_broken_rule_of_a_request(spark):
+    cases = [("hubspot_search", '{"object_type":"deals","budget_tokens":8193}', "budget_tokens"), ("hubspot_search", '{"object_type":"deals","extra":1}', None),
+             ("jira_get_issue", "not json", "args"), ("jira_get_issue", None, "args"), ("other", "{}", "form"), (None, "{}", "form"),
+             ("jira_get_issue", "{}", "issue_key"), ("github_get_issue", '{"owner":"a","repo":"b","issue_number":true,"fields":["body"]}', "issue_number")]
+    df = spark.createDataFrame(cases, "form string, args string, problem string")
+    assert [r.got for r in df.select(request_problem(F.col("form"), F.col("args")).alias("got")).collect()] == [c[2] for c in cases]
