@@ -84,12 +84,3 @@ def valid_request(owner: Column, repo: Column, query: Column, page: Column, budg
         budget.isNull() | budget.between(MIN_BUDGET, MAX_BUDGET),
     ]
     return reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in checks))
-
-
-def valid_detail_fields(fields: Column, allowed: list[str]) -> Column:
-    """At least one requested field, no more than there are, all of them known."""
-    return F.coalesce(
-        F.size(fields).between(1, len(allowed))
-        & (F.size(F.array_except(fields, F.array(*map(F.lit, allowed)))) == 0),
-        F.lit(False),
-    )

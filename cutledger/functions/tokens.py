@@ -8,9 +8,6 @@ itself costs one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Up to six letters, up to three digits, or one other visible character (fixed value).
@@ -29,25 +26,3 @@ def token_count_sql(text: str) -> str:
 def text_cost_sql(text: str) -> str:
     """Tokens of a text of several lines plus one per line break."""
     return f"({token_count_sql(text)} + length({text}) - length(replace({text}, '\\n', '')))"
-
-
-def bpe_counter(vocabulary_path: str, pattern: str, special_tokens: dict[str, int] | None = None):
-    """A pandas UDF counting tokens with a local byte-pair vocabulary file.
-
-    Optional: needs ``tiktoken`` and a vocabulary file reachable from every executor. The
-    encoder is built once per task.
-    """
-
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-        from tiktoken.load import load_tiktoken_bpe
-
-        encoding = tiktoken.Encoding(
-            name="local", pat_str=pattern, mergeable_ranks=load_tiktoken_bpe(vocabulary_path),
-            special_tokens=special_tokens or {},
-        )
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else len(encoding.encode(t, disallowed_special=())))
-
-    return count

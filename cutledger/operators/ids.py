@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cutledger.functions.rules import is_opaque_id
 from cutledger.functions.tokens import token_count
@@ -15,17 +15,12 @@ def alias_candidates(values: DataFrame, session: str = "session_id", value: str
     """Distinct opaque ids per session that are worth an alias, with their first appearance.
 
     ``seen`` orders appearances in a session. The shortest alias costs two tokens, so an id
-    must cost more; the check against its own number follows in ``assign_aliases``.
+    must cost more. Aliases from ``@1000`` on cost three or more, which isn't weighed against the id.
     """
     firsts = values.where(is_opaque_id(F.col(value))).groupBy(session, value).agg(F.min(seen).alias("first_seen"))
     return firsts.where(token_count(value) > 2)
 
 
-def alias_cost(number: Column) -> Column:
-    """Tokens of ``@n``: one for the sign, one per three digits."""
-    return F.lit(1) + F.ceil(F.length(number.cast("string")) / 3)
-
-
 def assign_aliases(candidates: DataFrame, known: DataFrame | None = None, session: str = "session_id",
                    value: str = "value", block: int = BLOCK) -> DataFrame:
     """Dictionary ``(session, value, alias_no)`` numbered by first appearance.

@@ -28,11 +28,6 @@ def route(is_error: Column, skip: Column) -> Column:
     return F.when(is_error, "error").when(F.coalesce(skip, F.lit(False)), "skip").otherwise("shape")
 
 
-def no_gain(mode: Column, budget: Column, offset: Column, output_chars: Column, input_chars: Column) -> Column:
-    """Library rule: nothing was asked for and nothing got shorter."""
-    return (mode == "all") & budget.isNull() & (offset == 0) & (output_chars >= input_chars)
-
-
 def keeps_original(tokens_before: Column, tokens_after: Column, is_recovery: Column) -> Column:
     """Call rule: the shaped text is no smaller, and the caller did not ask for this view."""
     return ~is_recovery & (tokens_after >= tokens_before)

@@ -40,6 +40,23 @@ def bind_requests(requests: DataFrame, archive: DataFrame) -> DataFrame:
     })
 
 
+def recover(requests: DataFrame, archive: DataFrame) -> DataFrame:
+    """``(request_id, error, text, records, shown, start, next_offset)`` for every request; ``plans.calls.recover_views`` also minds policies."""
+    from cutledger.plans.shape import shape_payloads
+
+    bound = bind_requests(requests, archive)
+    good = bound.where("error IS NULL").select(
+        F.col("request_id").alias("payload_id"), "text", "o_mode", "o_fields", "o_offset", "o_budget",
+        F.col("tool").alias("o_label"),
+        F.concat(F.lit('recover with handle="'), "handle", F.lit('" and offset={next}')).alias("o_hint"),
+    )
+    shaped = shape_payloads(good).select(
+        F.col("payload_id").alias("request_id"), F.lit(None).cast("string").alias("error"), "text", "records", "shown", "start",
+        F.when(F.col("start") + F.col("shown") < F.col("records"), F.col("start") + F.col("shown")).alias("next_offset"))
+    failed = bound.where("error IS NOT NULL").select("request_id", "error")
+    return shaped.unionByName(failed, allowMissingColumns=True)
+
+
 def latest_registrations(requests: DataFrame, registrations: DataFrame, ttl_seconds: int, columns: list[str],
                          session: str = "session_id", slice_seconds: int = 60) -> DataFrame:
     """For each request, ``columns`` of the session's latest registration that is still alive.
