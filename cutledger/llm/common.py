@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cutledger.llm import hashing
+
+#: Bytes of an Arrow batch that Spark sends to a Python worker, or one row.
+BATCH_BYTES = 1 << 22
 #: Rust's white space differs from Python's only by the four separators below, which Rust keeps.
 WORD = re.compile(r"[\S\x1c-\x1f]+")
 SPACED_WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -74,6 +79,37 @@ class Scratch:
             self.paths.remove(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark cut Arrow batches by bytes as well as by rows, since texts differ in length; a setting of the session's own stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def released() -> None:
+    """Give the free memory of this Python worker back to the system."""
+    hashing.forget()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for a task that leaves little behind, as its worker goes on to tasks of other operators.
+
+    Tokenizer tables that an earlier operator left in the worker go before the task, free memory after it.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _CACHES.clear()
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return task
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,6 +23,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def forget() -> None:
+    """Drop the powers; they are as many as the longest text had bytes and are made again when needed."""
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of a word over all of it; works in place on a new array."""
     x = x ^ (x >> np.uint64(32))

@@ -67,7 +67,7 @@ def set_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 "doc_id": got.column(0), "th": got.column(1), "n": [len(s) for s in sets], "fp": [hashing.fingerprint(s) for s in sets],
                 "counted": [int((s < bound).sum()) for s in sets]})
 
-    return cm.saved(keyed(docs).mapInArrow(run, "doc_id long, th long, n long, fp long, counted long"))
+    return cm.saved(keyed(docs).mapInArrow(cm.frugal(run), "doc_id long, th long, n long, fp long, counted long"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def counted_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if tokens:
                 yield cm.batch(out, {"token": np.concatenate(tokens), "fp": np.concatenate(owners)})
 
-    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "token long, fp long")
+    return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cm.frugal(run), "token long, fp long")
 
 
 def with_frequency(tokens: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> D
             yield cm.batch(out, cols)
 
     near = keyed(docs).alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    found = near.select("w.fp", "d.text").mapInArrow(run, "fp long, n long, tokens array<long>, second array<int>, third array<int>, bits binary")
+    found = near.select("w.fp", "d.text").mapInArrow(cm.frugal(run), "fp long, n long, tokens array<long>, second array<int>, third array<int>, bits binary")
     return cm.saved(found)
 
 
@@ -209,7 +209,7 @@ def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
     side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
     # A block also meets itself, in a group of its own.
     met = dealt.select("token", x.alias("x"), y.alias("y"), "fp", "n", "label", side.cast("long").alias("side"), "bits")
-    return met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(run, "a long, b long")
+    return met.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(cm.frugal(run), "a long, b long")
 
 
 def links(docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
@@ -235,6 +235,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     ``label`` names the component also where no row of it has a ``doc_id``; it is null for empty sets.
     """
+    cm.small_batches(docs.sparkSession)
     sets = set_rows(docs, size, percent)
     label = components(links(docs, sets, size, percent))
     classes = sets.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"))

@@ -258,6 +258,7 @@ def told(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
 
     Every text travels once, and a few megabytes of a batch are read at a time. Without a network no language can be told, so no row stays.
     """
+    cm.small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 
@@ -268,4 +269,4 @@ def told(docs: DataFrame, net: Network | None, least: float) -> DataFrame:
                 langs, scores = judged(net, rows.column(at).slice(a, b - a), got.column(len(names)).slice(a, b - a))
                 yield rows.slice(a, b - a).filter(pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.select(*[F.col(f"`{n}`") for n in names], with_letters().alias("__letters")).mapInArrow(run, docs.schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names], with_letters().alias("__letters")).mapInArrow(cm.frugal(run), docs.schema)

@@ -86,7 +86,7 @@ def first_buckets(rows: DataFrame, length: int, gram: int, scratch: cm.Scratch)
             if cols:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*cols, strict=True), out, strict=True)], schema=out)
 
-    return scratch.keep(rows.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(run, "anchor long, th long, times int"))
+    return scratch.keep(rows.where(F.octet_length("text") >= length).select("th", "text").mapInArrow(cm.frugal(run), "anchor long, th long, times int"))
 
 
 def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
@@ -124,7 +124,7 @@ def stretches(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
             yield cm.batch(out, cols)
 
     near = rows.alias("d").join(wanted.alias("w"), (F.col("d.th") == F.col("w.th")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")))
-    return near.select("w.th", "d.text", "w.anchors", "w.hot").mapInArrow(run, "anchor long, hot boolean, th long, start long, windows int, place int, cid long, stretch binary")
+    return near.select("w.th", "d.text", "w.anchors", "w.hot").mapInArrow(cm.frugal(run), "anchor long, hot boolean, th long, start long, windows int, place int, cid long, stretch binary")
 
 
 def window_ids(parts: list[bytes], windows: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -187,7 +187,7 @@ def refine_buckets(found: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield work(held)
 
-    return found.select("anchor", "th", "start", "windows", "cid", "stretch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "th long, start long, stop long")
+    return found.select("anchor", "th", "start", "windows", "cid", "stretch").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(cm.frugal(run), "th long, start long, stop long")
 
 
 def refine_hot(found: DataFrame, length: int, gram: int, scratch: cm.Scratch) -> DataFrame:
@@ -229,6 +229,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
 
 def repeats_of(rows: DataFrame, length: int, gram: int, hot: int = HOT) -> DataFrame:
     """``repeats`` of ``(doc_id, th, text)`` rows; texts may be binary."""
+    cm.small_batches(rows.sparkSession)
     rows = rows.where(F.octet_length("text") >= length)
     scratch = cm.Scratch(rows.sparkSession, "suffix-dedup")
     buckets = first_buckets(rows, length, gram, scratch)
@@ -289,7 +290,7 @@ def regions(docs: DataFrame, found: DataFrame, short: int, length: int) -> DataF
                 yield cm.batch(out, {n: [m[k] for m in made] for k, n in enumerate(out.names)})
 
     one = keyed(docs).join(found.where("runs IS NOT NULL").select("th", "one", "runs"), "th").where(F.col("doc_id").eqNullSafe(F.col("one")))
-    once = one.select("th", "text", "runs").mapInArrow(run, "owner long, at long, text binary").dropDuplicates(["owner", "at"])
+    once = one.select("th", "text", "runs").mapInArrow(cm.frugal(run), "owner long, at long, text binary").dropDuplicates(["owner", "at"])
     path = cm.scratch_table(docs.sparkSession, "suffix-regions")
     once.select("owner", "at", F.xxhash64("text").alias("th"), "text").write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -323,7 +324,7 @@ def digests(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> Da
     found = repeats(docs, passage, PASSAGE_GRAM)
     longer = longer_repeats(docs, found, passage, length, GRAM)
     joined = keyed(docs).join(found.join(longer, "th", "left"), "th", "left").select("doc_id", "text", "copies", "runs", "longer")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
+    return joined.mapInArrow(cm.frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, n_passages long")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -335,14 +336,16 @@ def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            cols = list(got.columns[: len(names)])
-            texts = []
-            for text, copies, runs in zip(cols[at].to_pylist(), got.column(len(names)).to_pylist(), got.column(len(names) + 1).to_pylist(), strict=True):
-                data = as_bytes(text or "")
-                gone = removed_mask(len(data), copies, runs, length)
-                texts.append(text if not gone.any() else data[~gone].tobytes().decode("utf-8", "ignore"))
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    out = found.select(*[F.col(f"`{n}`") for n in names], "__copies", "__runs").mapInArrow(run, schema)
+            for a, b in cm.slices(got.column(at), cm.BATCH_BYTES):
+                part = got.slice(a, b - a)
+                cols = list(part.columns[: len(names)])
+                texts = []
+                for text, copies, runs in zip(cols[at].to_pylist(), part.column(len(names)).to_pylist(), part.column(len(names) + 1).to_pylist(), strict=True):
+                    data = as_bytes(text or "")
+                    gone = removed_mask(len(data), copies, runs, length)
+                    texts.append(text if not gone.any() else data[~gone].tobytes().decode("utf-8", "ignore"))
+                cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    out = found.select(*[F.col(f"`{n}`") for n in names], "__copies", "__runs").mapInArrow(cm.frugal(run), schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out
