@@ -368,6 +368,24 @@ def test_suffix_dedup_hot_buckets_agree(docs, spark):
     assert spread(usual) == spread(hot) and len(spread(hot)) == 40
 
 
+def test_frugal_tasks_leave_nothing_behind():
+    """Rows pass unaltered; tables of other operators go before a task, powers after it, also when it fails."""
+    cm._CACHES["vocabulary", "pattern"] = ()
+    assert list(cm.frugal(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4]
+    assert not cm._CACHES
+
+    def fails(batches):
+        hashing.powers(10)
+        yield next(batches)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        list(cm.frugal(fails)(iter([1])))
+    assert [len(p) for p in hashing._POWERS] == [1, 1]
+    data = np.frombuffer(b"some bytes", np.uint8)
+    assert len(hashing.grams(hashing.running(data), 4)) == 7
+
+
 def test_told_keeps_rows_as_they_are(docs, spark):
     net = langid.fit(docs)
     clash = frame(spark).withColumns({"lang_pred": F.lit("x"), "__text": F.lit(1)}).repartition(3)
