@@ -94,6 +94,11 @@ def released() -> None:
         trim(0)
 
 
+def forget_tables() -> None:
+    """Drop the tokenizer tables of this process. Named in a task, the tables themselves would be sent along and a copy emptied."""
+    _CACHES.clear()
+
+
 def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for a task that leaves little behind, as its worker goes on to tasks of other operators.
 
@@ -101,7 +106,7 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _CACHES.clear()
+        forget_tables()
         try:
             yield from run(batches)
         finally:
