@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cutledger.functions import jsonfold
+from cutledger.functions import jsonfold, jsontasks
 from cutledger.functions.jsonwalk import UNROLLED
 from cutledger.functions.rules import machine_url
 
@@ -52,6 +52,15 @@ def leaf_values(records: DataFrame, *keys: str, column: str = "rec", unrolled: i
     )
 
 
+def walked_leaves(records: DataFrame, *keys: str, column: str = "rec") -> DataFrame:
+    """The rows of ``leaf_values``, each record walked by one pass over its text in an Arrow task.
+
+    Much faster for deep records. Spark forgets how the rows were partitioned, so use it where no step groups by payload.
+    """
+    rows = records.select(*keys, F.posexplode(jsontasks.leaf_list(F.col(column))).alias("i", "leaf"))
+    return rows.select(*keys, "leaf.path", "leaf.apath", F.array("i").alias("ord"), "leaf.js", "leaf.str")
+
+
 # All dotted prefixes of a path, shortest first.
 PREFIXES = "transform(sequence(1, size(split(path, '[.]'))), i -> substring_index(path, '.', i))"
 
