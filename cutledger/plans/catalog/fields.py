@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cutledger.functions import requests, jsonwalk as jw
+from cutledger.functions import requests, jsontasks as jt
 from cutledger.functions import rules
 from cutledger.operators import fields as fl
 from cutledger.operators import frame
@@ -17,8 +17,7 @@ from cutledger.sources import views
 
 def _text(spark, sf, fields):
     r = records(views.order_payloads(spark, sf))
-    wanted = r.withColumn("f", F.array(*map(F.lit, fields)))
-    return wanted.select("payload_id", "rec_idx", F.expr(jw.text("rec", "f")).alias("line"))
+    return r.select("payload_id", "rec_idx", jt.cut_text(F.col("rec"), fields).alias("line"))
 
 
 def pick_paths(spark, sf):
@@ -26,8 +25,8 @@ def pick_paths(spark, sf):
 
 
 def silent_projection(spark, sf):
-    r = records(views.order_payloads(spark, sf)).withColumn("f", F.array(F.lit("number"), F.lit("milestone"), F.lit("user.id"), F.lit("assignee")))
-    return r.select("payload_id", "rec_idx", F.expr(jw.pick_text("rec", "f")).alias("line"))
+    r = records(views.order_payloads(spark, sf))
+    return r.select("payload_id", "rec_idx", jt.cut_text(F.col("rec"), ["number", "milestone", "user.id", "assignee"], clean=False).alias("line"))
 
 
 def frame_pick(spark, sf):
@@ -180,7 +179,9 @@ def request_forms(spark, sf):
     """A request of each form for every customer: ``#`` is the customer's number, ``~`` a text of as many characters."""
     pattern = F.get(F.get(F.array(*[F.array(*map(F.lit, row)) for row in _ARGS]), (F.col("c_custkey") % 6).cast("int")), F.expr("cast(c_custkey div 6 % 5 AS int)"))
     key = F.col("c_custkey").cast("string")
-    args = F.replace(F.replace(pattern, F.lit("#"), key), F.lit("~"), F.repeat(F.lit("k"), F.col("c_custkey").cast("int")))
+    numbered = F.replace(pattern, F.lit("#"), key)
+    # The long text is made only for the requests that hold it.
+    args = F.when(numbered.contains("~"), F.replace(numbered, F.lit("~"), F.repeat(F.lit("k"), F.col("c_custkey").cast("int")))).otherwise(numbered)
     return T(spark, sf, "customer").select("c_custkey", requests.request_problem(F.expr(_FORM), args).alias("problem"))
 
 
