@@ -45,6 +45,22 @@ def value_texts(records: DataFrame, paths: list[str]) -> list[Column]:
     return out
 
 
+# Types whose equal values are those of equal JSON text, so a value is compared as it is.
+_PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _plain_sums(i: int, path: str, text: bool) -> list[Column]:
+    """The sums of ``profile`` for a path outside arrays, without a list of values or their JSON."""
+    value = F.col(".".join(f"`{p}`" for p in path.split(".")))
+    value = F.nullif(value, F.lit("")) if text else value
+    h = F.when(value.isNotNull(), F.xxhash64(value))
+    link = value.startswith("http") & machine_url(value)
+    return [
+        F.count(value).alias(f"v{i}"), F.count(value).alias(f"r{i}"), F.min(h).alias(f"lo{i}"), F.max(h).alias(f"hi{i}"),
+        (F.coalesce(F.sum(F.length(value)), F.lit(0)).cast("long") if text else F.lit(0)).alias(f"c{i}"),
+        (F.count_if(link) if text else F.lit(0)).alias(f"l{i}")]
+
+
 def profile(df: DataFrame, by: list[str], fields: Fields, long_text: int) -> DataFrame:
     """``(*by, n_total, leaf)``: for each path whether it is filled, kept, constant, and missing from some rows only."""
     records = df.drop(*by)
@@ -53,11 +69,11 @@ def profile(df: DataFrame, by: list[str], fields: Fields, long_text: int) -> Dat
     if len(set(paths)) < len(paths):
         raise ValueError("two columns share a path")
     sums, made = [], []
-    for i, ((path, dtype, _), js) in enumerate(zip(leaves, value_texts(records, paths), strict=True)):
+    for i, ((path, dtype, inside), js) in enumerate(zip(leaves, value_texts(records, paths), strict=True)):
         text = isinstance(dtype, T.StringType)
         values = path_values(records, path)
         h = F.xxhash64(js)
-        sums += [
+        sums += _plain_sums(i, path, text) if isinstance(dtype, _PLAIN) and not inside else [
             F.sum(F.size(values)).alias(f"v{i}"), F.count_if(F.size(values) > 0).alias(f"r{i}"),
             F.min(F.when(js.isNotNull(), h)).alias(f"lo{i}"), F.max(F.when(js.isNotNull(), h)).alias(f"hi{i}"),
             (F.sum(F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.length(x))) if text else F.lit(0)).alias(f"c{i}"),
