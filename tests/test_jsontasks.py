@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from cutledger.functions import jsontasks as jt, jsonwalk as jw
 from cutledger.llm import common as cm
 from cutledger.operators import leaves as lv
-from cutledger.plans import declared as dl
+from cutledger.plans import declared as dl, shape as sh
 from cutledger.plans.catalog import fields
 
 DOCS = [
@@ -55,3 +55,38 @@ def test_plain_values_of_a_frame_are_compared_without_json(spark):
     assert "to_json" not in profiled._jdf.queryExecution().analyzed().toString().lower().replace("structstojson", "to_json")
     leaf = {x.path: (x.filled, x.kept, x.same, x.some) for x in profiled.collect()[0].leaf}
     assert leaf == {"a": (True, True, False, False), "b": (True, False, False, True), "c": (True, True, True, False)}
+
+
+LINKS = ['{"u":"http://api.x/y","v":["https://h/a.PNG","https://a b/api/","http:///api/","https://u@x.api.y","ftp://api.x"]}', '{"u":"https://avatar.x?z","v":"\\u212a é😀"}']
+
+
+def test_profile_of_a_payload_equals_the_expressions(spark, monkeypatch):
+    """Payloads of one and of many layouts, and several of one id, whose records of one number count as one."""
+    monkeypatch.setattr(jt, "OFTEN", 2)
+    docs = [d for d in DOCS + LINKS if d]
+    # (id, payload of that id, record number, text)
+    rows = [(f"p{i}", c, n, docs[(i * 7 + c * 5 + n * (i % 4)) % len(docs)]) for i in range(40) for c in range(1 + (i % 3 == 0)) for n in range(1 + (i + c) % 5)]
+    df = spark.createDataFrame(rows, "payload_id string, c int, rec_idx long, t string").withColumn("rec", F.try_parse_json("t"))
+    leaf = F.struct("first_seen", "path", "prefixes", "n_values", "n_strings", "string_chars", "n_links", "n_records", "min_vals", "max_vals", "vals_per_record")
+    expected = {r.payload_id: r for r in lv.path_profile(lv.record_paths(lv.leaf_values(df.select("payload_id", "rec_idx", "rec"), "payload_id", "rec_idx"))).groupBy("payload_id").agg(
+        F.array_sort(F.collect_list(leaf)).alias("leaf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("empty_tops")))).alias("tops"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("shapes")))).alias("shapes")).collect()}
+    texts = {}
+    for r in df.select("payload_id", "c", "rec_idx", F.to_json("rec").alias("t")).orderBy("payload_id", "c", "rec_idx").collect():
+        texts.setdefault(r.payload_id, {}).setdefault(r.c, []).append(r.t)
+    layouts = jt.Layouts()
+    for key, lists in texts.items():
+        found, tops, shapes = jt.profile(list(lists.values()), layouts)
+        e = expected[key]
+        assert found == [tuple(x)[1:] for x in e.leaf] and tops == e.tops
+        assert shapes == ([tuple(tuple(y) for y in x) for x in e.shapes] if len(e.shapes) > 1 else [])
+
+
+def test_profiles_join_and_sort_nothing(spark):
+    df = spark.createDataFrame([("a", '[{"n":1,"x":{"y":""}}]'), ("a", '[{"n":2},{"m":3}]'), (None, '[{"n":1}]'), ("b", None)], "payload_id string, text string")
+    d = sh.field_decisions(df, fields="auto")
+    plan = d._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Generate variant_explode" not in plan
+    found = sorted((str(r.payload_id), r.n_total, r.fields, r.left_out, r.empty, r.ragged) for r in d.collect())
+    # Payloads of one id have one profile; a payload without id has none.
+    assert found == [("None", 1, [], [], [], False), ("a", 1, ["n", "m"], [], ["x"], True), ("a", 2, ["n", "m"], [], ["x"], True), ("b", 0, [], [], [], False)]
