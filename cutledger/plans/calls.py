@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cutledger.functions.tokens import token_count
-from cutledger.operators import policies as po, recover as rc
+from cutledger.operators import discovery as dc, policies as po, recover as rc
 from cutledger.operators.positions import group_positions
 from cutledger.plans import shape as sh
 from cutledger.plans.shape import KEY
@@ -63,8 +63,12 @@ def fit_with_receipt(plan: DataFrame, *keep: str) -> DataFrame:
     return chosen.withColumns({"text": shown, "output_tokens": after}).drop("_cut", "o_receipt", "o_asked")
 
 
-def handles(found: DataFrame) -> DataFrame:
-    """``(payload_id, session_id, tool, text, pos, group_rows, handle)`` of results with records, numbered by arrival."""
+def handles(views: DataFrame) -> DataFrame:
+    """``(payload_id, session_id, pos, group_rows, handle)`` of results with records, numbered by arrival.
+
+    Whether there are records is told where a text lies, so no text is shuffled.
+    """
+    found = dc.find_records(dc.parse_payloads(views.select(KEY, "session_id", "arrival", "text")))
     held = found.where("record_list IS NOT NULL").select(KEY, "session_id", "arrival")
     return group_positions(held, ["session_id"], "arrival").withColumn("handle", F.concat(F.lit("r"), F.col("pos") + 1))
 
@@ -79,9 +83,9 @@ def call_results(calls: DataFrame, policies: DataFrame, budget: int | None = Non
     ways = routed(calls, policies, budget, long_text)
     views = ways.where("route = 'shape'").select(
         KEY, "session_id", "arrival", "text", *OPTIONS, F.col("tool").alias("o_label"), F.col("structured").alias("o_structured"))
-    plan = sh.decided(views.drop("session_id", "arrival"), use_counts)
-    numbered = handles(sh.discover(views.select(KEY, "session_id", "arrival", "text"))).select(KEY, "handle")
-    shaped = fit_with_receipt(plan.join(numbered, KEY, "left").withColumn("o_original", F.col("text")), "o_structured", "o_original")
+    numbered = handles(views).groupBy(KEY).agg(F.collect_list("handle").alias("o_handles"))
+    plan = sh.decided(views.drop("session_id", "arrival"), use_counts, numbered).withColumn("handle", F.explode_outer("o_handles"))
+    shaped = fit_with_receipt(plan.drop("o_handles").withColumn("o_original", F.col("text")), "o_structured", "o_original")
     kept = F.col("passthrough").isNull() & po.keeps_original(F.col("input_tokens"), F.col("output_tokens"), F.lit(False))
     outcome = F.coalesce("passthrough", F.when(kept, "no_gain"), F.lit("shaped"))
     done = shaped.withColumn("outcome", outcome)
@@ -99,7 +103,7 @@ def call_results(calls: DataFrame, policies: DataFrame, budget: int | None = Non
 def call_archive(calls: DataFrame, policies: DataFrame, keep: int = KEEP_RESPONSES) -> DataFrame:
     """``(session_id, handle, tool, text)``: the originals that ``call_results`` named, the latest ``keep`` of each session."""
     views = routed(calls, policies).where("route = 'shape'")
-    latest = handles(sh.discover(views.select(KEY, "session_id", "arrival", "text"))).where(F.col("pos") >= F.col("group_rows") - keep)
+    latest = handles(views).where(F.col("pos") >= F.col("group_rows") - keep)
     return latest.select(KEY, "handle").join(views.select(KEY, "session_id", "tool", "text"), KEY).select("session_id", "handle", "tool", "text")
 
 

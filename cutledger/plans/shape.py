@@ -111,11 +111,17 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
     return _fit(decided(payloads, use_counts, **options))
 
 
-def decided(payloads: DataFrame, use_counts: bool, **options) -> DataFrame:
-    """One row per payload with its fields, notes and options decided, before any row is rendered."""
+def decided(payloads: DataFrame, use_counts: bool, beside: DataFrame | None = None, **options) -> DataFrame:
+    """One row per payload with its fields, notes and options decided, before any row is rendered.
+
+    ``beside`` has one row per payload id and columns named ``o_...``, which come along from where the payloads lie.
+    """
+    placed = discover(payloads)
+    if beside is not None:
+        placed = placed.join(beside, KEY, "left")
     # Options are added after the shuffle, so that counts reuse the same one.
-    found = with_options(discover(payloads), **options)
-    plan = with_options(profiled(envelope_of(counted(found) if use_counts else found), *_added(payloads, found)), **options)
+    found = with_options(placed, **options)
+    plan = with_options(profiled(envelope_of(counted(found) if use_counts else found), *_added(placed, found)), **options)
     plan = plan.withColumns({
         "meta": F.expr(rd.meta_text()),
         "count_lines": F.expr(ct.COUNT_LINES if use_counts else "cast(NULL AS array<string>)"),
@@ -125,8 +131,9 @@ def decided(payloads: DataFrame, use_counts: bool, **options) -> DataFrame:
 
 def field_decisions(payloads: DataFrame, **options) -> DataFrame:
     """Fields, constants and field-level cuts per payload, without rendering anything."""
-    found = with_options(discover(payloads), **options)
-    plan = profiled(envelope_of(found), "record_list", "text", "meta_list", *_added(payloads, found))
+    placed = discover(payloads)
+    found = with_options(placed, **options)
+    plan = profiled(envelope_of(found), "record_list", "text", "meta_list", *_added(placed, found))
     return fl.decide_fields(with_options(plan, **options))
 
 

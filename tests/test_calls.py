@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cutledger.functions.requests import request_problem
 from cutledger.functions.tokens import token_count
 from cutledger.operators.frame import path_values, pick_columns
-from cutledger.plans.calls import call_archive, call_results, recover_views
+from cutledger.plans.calls import call_archive, call_results, handles, recover_views
 from cutledger.sources.pages import detail_projection
 
 DEPOTS = json.dumps({"depots": [
@@ -162,3 +162,10 @@ def test_first_broken_rule_of_a_request(spark):
              ("jira_get_issue", "{}", "issue_key"), ("github_get_issue", '{"owner":"a","repo":"b","issue_number":true,"fields":["body"]}', "issue_number")]
     df = spark.createDataFrame(cases, "form string, args string, problem string")
     assert [r.got for r in df.select(request_problem(F.col("form"), F.col("args")).alias("got")).collect()] == [c[2] for c in cases]
+
+
+def test_handles_shuffle_no_text(spark):
+    views = spark.createDataFrame([("a", "s", 2, '[{"n":1}]'), ("b", "s", 1, '[{"n":1}]'), ("c", "s", 0, "no records")], "payload_id string, session_id string, arrival long, text string")
+    numbered = handles(views)
+    assert "REPARTITION" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert {r.payload_id: r.handle for r in numbered.collect()} == {"a": "r2", "b": "r1"}
