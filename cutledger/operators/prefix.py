@@ -8,9 +8,13 @@ at most ``MOST_SEGMENTS`` rows for each group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SEGMENT_ROWS, MOST_SEGMENTS = 100_000, 4096
+MOST_SENT = 20_000  # rows of a table of segments that is broadcast
 
 
 def segment_bounds(df: DataFrame, key: str, rows: int = SEGMENT_ROWS) -> list:
@@ -23,21 +27,25 @@ def segment_bounds(df: DataFrame, key: str, rows: int = SEGMENT_ROWS) -> list:
 
 
 def segment_of(key: Column, bounds: list) -> Column:
-    """How many bounds are at or below the key, looked up in two steps of about a square root of them each."""
+    """How many bounds are at or below the key, found by halving."""
     if not bounds:
         return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    heads = F.array(*[F.lit(b) for b in bounds[::step]])
-    runs = F.array(*[F.array(*[F.lit(b) for b in bounds[i : i + step]]) for i in range(0, len(bounds), step)])
-    below = lambda a: F.size(F.filter(a, lambda b: b <= key))
-    head = below(heads)
-    return F.when(head == 0, 0).otherwise((head - 1) * step + below(F.get(runs, head - 1)))
+    held = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    # Beyond the last bound there is null, which is not below the key.
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) <= key, at + step).otherwise(at))
 
 
 def before_segment(rows: DataFrame, by: list[str], total: Column, name: str) -> DataFrame:
-    """``(*by, _segment, name)``: the sum of ``total`` over the group's earlier segments."""
+    """``(*by, _segment, _t, name)``: ``total`` of the segment, and its sum over the group's earlier segments."""
     earlier = W.partitionBy(*by).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
-    return rows.groupBy(*by, "_segment").agg(total.alias("_t")).select(*by, "_segment", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias(name))
+    return rows.groupBy(*by, "_segment").agg(total.alias("_t")).select(*by, "_segment", "_t", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias(name))
+
+
+def broadcast_few(table: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """``table`` computed and broadcast if it has at most ``most`` rows, else as it is."""
+    rows = table.limit(most + 1).toArrow()
+    return table if rows.num_rows > most else F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
 
 
 def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,16 +58,23 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(named, cond).drop(*[f"_r_{k}" for k in keys])
 
 
-def positions(df: DataFrame, by: list[str], key: str, rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Add ``_segment`` and ``pos``, the 0-based place of a row in its group by ``key``, which is unique there."""
+def positions(df: DataFrame, by: list[str], key: str, rows: int = SEGMENT_ROWS, reach: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Add ``_segment`` and ``pos``, the 0-based place of a row in its group by ``key``, which is unique there.
+
+    With ``reach``, ranges of places (first, last), only rows at these places are returned. Rows of segments that hold none of them
+    are dropped where they are read; with more than ``MOST_SENT`` segments left, as many small groups have, by a shuffled join.
+    """
     cut = df.withColumn("_segment", segment_of(F.col(key), segment_bounds(df, key, rows)))
-    local = F.row_number().over(W.partitionBy(*by, "_segment").orderBy(key))
     before = before_segment(cut, by, F.count(F.lit(1)), "_before")
-    return _on(cut.withColumn("_local", local), before, [*by, "_segment"]).withColumn("pos", F.col("_before") + F.col("_local") - 1).drop("_before", "_local")
+    if reach is not None:
+        before = broadcast_few(before.where(reduce(or_, [(F.col("_before") <= last) & (F.col("_before") + F.col("_t") > first) for first, last in reach])))
+    local = F.row_number().over(W.partitionBy(*by, "_segment").orderBy(key))
+    placed = _on(cut, before.drop("_t"), [*by, "_segment"]).withColumn("pos", F.col("_before") + local - 1).drop("_before")
+    return placed if reach is None else placed.where(reduce(or_, [F.col("pos").between(first, last) for first, last in reach]))
 
 
 def running_sum(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` up to and with each row, by ``pos``, to rows of ``positions``."""
     local = F.sum(value).over(W.partitionBy(*by, "_segment").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
-    before = before_segment(rows, by, F.sum(value), "_before")
+    before = before_segment(rows, by, F.sum(value), "_before").drop("_t")
     return _on(rows.withColumn("_local", local), before, [*by, "_segment"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_before", "_local")

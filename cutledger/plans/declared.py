@@ -131,7 +131,9 @@ def declare(df: DataFrame, by: list[str], order: str, max_tokens: int, fields: F
     ``MIN_ROW_COST``, so at most ``max_tokens / MIN_ROW_COST + 1`` rows of a group are looked at, and only those that fit are collected.
     """
     records = df.drop(*by)
-    placed = prefix.positions(df, by, order, segment_rows)
+    near = (max(0, offset), max(0, offset) + max_tokens // MIN_ROW_COST)
+    # Constants stand in a group's first row.
+    placed = prefix.positions(df, by, order, segment_rows, [near, (0, 0)] if fields == "auto" else [near])
     start = F.least(F.lit(max(0, offset)).cast("long"), F.col("n_total"))
     plan = decide(profile(df, by, fields, long_text), fields).withColumn("start", start)
     if fields == "auto":
@@ -144,8 +146,8 @@ def declare(df: DataFrame, by: list[str], order: str, max_tokens: int, fields: F
     plan = plan.withColumn("constants", constants).drop("leaf", "texts").withColumns({
         "label": F.lit(label), "hint": F.lit(hint).cast("string"), "meta": F.lit(""), "count_lines": F.lit(None).cast("array<string>"), "aliased": F.lit(0).cast("long")})
     plan = plan.withColumn("_floor", F.expr(rd.static_cost().replace("notes_0", f"({before})").replace("tail_0", f"({after})")))
-    near = prefix._on(placed.where(F.col("pos").between(max(0, offset), max(0, offset) + max_tokens // MIN_ROW_COST)), plan.select(*by, "row_fields", "start", "_floor"), by)
-    lines = near.select(*by, "_segment", "pos", "start", "_floor", row_json(records).alias("line")).withColumn("_cost", token_count("line") + 1)
+    reached = prefix._on(placed.where(F.col("pos").between(*near)), plan.select(*by, "row_fields", "start", "_floor"), by)
+    lines = reached.select(*by, "_segment", "pos", "start", "_floor", row_json(records).alias("line")).withColumn("_cost", token_count("line") + 1)
     held = prefix.running_sum(lines, by, "_cost", "_used").where((F.col("_floor") + F.col("_used") <= max_tokens) | (F.col("pos") == F.col("start")))
     body = held.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_rows")).select(*by, F.transform("_rows", lambda r: r["line"]).alias("_lines"))
     named = body.withColumnsRenamed({k: f"_r_{k}" for k in by})

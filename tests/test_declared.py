@@ -29,6 +29,46 @@ def test_positions_and_sums_in_a_hot_group(spark, rows):
     assert got == want
 
 
+def exchanged(df):
+    """Rows that the shuffles of a plan that has run moved, without those that went to broadcasts."""
+    def below(node):
+        held = [node.metrics().apply("shuffleRecordsWritten").value()] if node.nodeName() == "Exchange" else []
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return below(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return below(node.plan())
+        kids = node.children()
+        return held + [n for i in range(kids.size()) for n in below(kids.apply(i))]
+
+    df.collect()
+    return sum(below(df._jdf.queryExecution().executedPlan()))
+
+
+def test_positions_in_reach_move_the_rows_of_their_segments_only(spark):
+    made = [("hot" if i % 3 else None, (i * 7919) % 5003) for i in range(5000)]
+    df = spark.createDataFrame(made, "g string, k long")
+    reach = [(0, 0), (900, 940), (10**9, 10**9)]
+    near = prefix.positions(df, ["g"], "k", 50, reach)
+    want = {(g, k, pos) for g in ("hot", None) for pos, k in enumerate(sorted(k for h, k in made if h == g)) if pos == 0 or 900 <= pos <= 940}
+    assert {(r["g"], r["k"], r["pos"]) for r in near.collect()} == want
+    assert exchanged(near) < 500 < exchanged(prefix.positions(df, ["g"], "k", 50))
+    # Too many segments for a broadcast are joined.
+    sent = prefix.broadcast_few.__defaults__
+    prefix.broadcast_few.__defaults__ = (0,)
+    try:
+        assert {(r["g"], r["k"], r["pos"]) for r in prefix.positions(df, ["g"], "k", 50, reach).collect()} == want
+    finally:
+        prefix.broadcast_few.__defaults__ = sent
+    assert prefix.positions(df.limit(0), ["g"], "k", 50, reach).collect() == []
+
+
+def test_segments_by_halving(spark):
+    bounds = [-5, 0, 3, 4, 9, 12, 40]
+    got = spark.range(-10, 60).select("id", prefix.segment_of(F.col("id"), bounds).alias("s")).collect()
+    assert [r["s"] for r in got] == [sum(b <= r["id"] for b in bounds) for r in got]
+    assert spark.range(1).select(prefix.segment_of(F.lit(None).cast("long"), bounds)).first()[0] == 0
+
+
 SCHEMA = "g string, id long, name string, tags array<string>, part struct<size:int, ref_id:string>, gone string, kind string"
 
 
