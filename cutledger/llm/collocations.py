@@ -228,14 +228,28 @@ def frequent(spark: SparkSession, blocks: str, shards: int = SHARDS, least: int
             if new.any():
                 since[k][new] = scan
                 opened[k + 1].add(scan)
-    counts = spark.read.parquet(table)
-    shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in frequent_slots(counts, least, longest, slots)])
-    names = spelled(source, shared, longest).distinct()
+    return named(spark, source, table, shards, least, longest, slots)
+
+
+def named(spark: SparkSession, source: DataFrame, table: str, shards: int, least: int, longest: int, slots: int) -> DataFrame:
+    """The phrases of the counts, spelled by one shard after the other: each is looked for only until a shard holds it."""
     path = cm.scratch_table(spark, "collocations-frequent")
-    names.join(counts.select("k", "h", "n"), ["k", "h"]).select("lang", "k", "phrase", "n").write.parquet(path)
-    shared.destroy()
+    for shard in range(shards):
+        counts = spark.read.parquet(table)
+        bits = frequent_slots(counts, least, longest, slots)
+        if shard and not bits.any():
+            break
+        shared = spark.sparkContext.broadcast([zlib.compress(x.tobytes(), 1) for x in bits])
+        spelled(source.where(F.col("shard") == shard), shared, longest).distinct().join(counts, ["k", "h"]).select(
+            "lang", "k", "h", "phrase", "n").write.mode("append").parquet(path)
+        shared.destroy()
+        if shard < shards - 1:
+            rest = cm.scratch_table(spark, "collocations-unnamed")
+            counts.select("k", "h", "n").join(spark.read.parquet(path).select("k", "h"), ["k", "h"], "left_anti").write.parquet(rest)
+            cm.drop_table(spark, table)
+            table = rest
     cm.drop_table(spark, table)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("h")
 
 
 def scored(found: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cutledger.llm import collocations, common as cm, toxicity, whitening
 from tests.conftest import SF_DIR
@@ -112,6 +113,21 @@ def test_collocations_of_awkward_rows(spark):
     assert mined(frame(spark).limit(0)) == [] and mined(frame(spark).where("doc_id = 4")) == []
 
 
+def test_phrases_are_spelled_until_a_shard_holds_them(spark, monkeypatch):
+    text = "one two three four " * 20
+    df = spark.range(0, 8, 1, 8).select(F.lit("en").alias("lang"), F.lit(text).alias("text"))  # a block of each row, two in a shard
+    made, spell = [], collocations.spelled
+
+    def seen(*given):
+        out = spell(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(collocations, "spelled", seen)
+    assert mined(df) == brute_collocations([("en", text)] * 8) != []
+    assert 0 < sum(made) <= 2 * 16  # 16 phrases; all eight blocks would spell 128
+
+
 def test_threshold_has_least_risk():
     toxic, free = np.array([2.0, 3.0, 4.0]), np.array([-1.0, 0.0, 0.5, 1.0, 3.5] * 4)
     assert 1.0 < toxicity.threshold(toxic, free, 0.2) < 2.0
