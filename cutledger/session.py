@@ -14,6 +14,8 @@ SETTINGS = {
     # Left to itself Spark joins them to one part per core, whose walked payloads and groups then spill.
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
+    # A task that reads a table holds its rows until they are dealt; beyond its memory they spill, so it reads little however large the table is.
+    "spark.sql.files.maxPartitionBytes": "16m",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     "spark.sql.variant.allowDuplicateKeys": "true",
     # Lists are collected per record or document, which stay small, so hashing many is fine.

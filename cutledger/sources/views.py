@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pack(df: DataFrame, group: str, row_key: str, block: int, record: Column, tool: Column | None = None) -> DataFrame:
-    """``(payload_id, tool, text)``: records of a group packed by blocks of positions in the order of ``row_key``."""
-    rows = df.select(F.col(group).cast("string").alias("g"), F.col(row_key).alias("k"), record.alias("r"))
+    """``(payload_id, tool, text)``: records of a group packed by blocks of positions in the order of ``row_key``.
+
+    Records repeat the values of their row, so rows are dealt as they come and records are made where their payload lies.
+    """
+    held = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    rows = df.select(F.col(group).cast("string").alias("_g"), F.col(row_key).alias("_k"), *(F.col(f"`{c}`").alias(h) for c, h in held.items()))
+    dealt = group_positions(rows, ["_g"], "_k").withColumn("_b", F.expr(f"pos div {block}")).repartition("_g", "_b")
     packed = (
-        group_positions(rows, ["g"], "k").select("g", F.expr(f"pos div {block}").alias("b"), F.struct("k", "r").alias("kr"))
+        dealt.select("_g", "_b", "_k", *(F.col(h).alias(c) for c, h in held.items()))
+        .select(F.col("_g").alias("g"), F.col("_b").alias("b"), F.struct(F.col("_k").alias("k"), record.alias("r")).alias("kr"))
         .groupBy("g", "b")
         .agg(F.array_sort(F.collect_list("kr")).alias("items"))
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cutledger.operators import budget, frame, ids, recover
 from cutledger.operators.positions import first_positions, group_positions
-from cutledger.sources import pages as pg
+from cutledger.sources import pages as pg, views
 from cutledger.sources.payloads import archive, read_payloads
 
 
@@ -22,6 +22,26 @@ def test_positions_in_a_hot_group(spark):
     assert firsts == {gk: p for gk, p in expected.items() if p < 5}
 
 
+def test_payloads_are_dealt_as_rows(spark):
+    """Records are made behind the last shuffle, of rows that may have any column names."""
+    rows = [("a" if i % 3 else "b", i * 7 % 40, f"v{i}") for i in range(40)] + [(None, 1, "lost")]
+    df = spark.createDataFrame(rows, "g string, k bigint, pos string")
+    packed = views.pack(df, "g", "k", 4, F.struct("k", F.concat(F.lit("made-"), "pos").alias("group_rows")))
+    placed, below = packed._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+    assert "made-" in placed and "made-" not in below
+    expected = {}
+    for g in "ab":
+        records = sorted((k, f"made-{v}") for h, k, v in rows if h == g)
+        expected |= {f"{g}/{i // 4}": records[i:i + 4] for i in range(0, len(records), 4)}
+    found = {r.payload_id: json.loads(r.text) for r in packed.collect()}
+    assert {p: [(x["k"], x["group_rows"]) for x in t["items"]] for p, t in found.items()} == expected
+    assert all(t["total_count"] == len(expected[p]) for p, t in found.items())
+
+
+def test_a_task_reads_little_of_a_table(spark):
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16m"
+
+
 def test_budget_pack_is_the_longest_prefix(spark):
     rng = random.Random(2)
     costs = {g: [rng.randint(1, 30) for _ in range(40)] for g in "abc"}
