@@ -43,30 +43,42 @@ def _within(value: Column, rule: Rule) -> Column:
     return low if rule.high is None else low & (value <= rule.high)
 
 
-def _holds(args: Column, rule: Rule) -> Column:
-    """Whether the field's value has the right type and range; NULL counts as no."""
-    at = lambda kind: F.try_variant_get(args, f"$.{rule.field}", kind)
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _holds(value: Column, rule: Rule) -> Column:
+    """Whether a VARIANT value has the rule's type and range; NULL counts as no."""
+    as_ = lambda kind: F.try_variant_get(value, "$", kind)
     is_text = lambda v: F.schema_of_variant(v) == "STRING"
     if rule.kind == "integer":
-        number = at("double")
-        return ~F.schema_of_variant(at("variant")).isin("STRING", "BOOLEAN") & (number == F.floor(number)) & _within(number, rule)
+        number = as_("double")
+        return ~F.schema_of_variant(value).isin("STRING", "BOOLEAN") & (number == F.floor(number)) & _within(number, rule)
     if rule.kind == "texts":
-        known = F.lit(True) if rule.options is None else F.size(F.array_except(at("array<string>"), F.array(*map(F.lit, rule.options)))) == 0
-        return F.forall(at("array<variant>"), is_text) & _within(F.size(at("array<variant>")), rule) & known
-    text = at("string")
-    form = F.lit(True) if rule.pattern is None else text.rlike(rule.pattern)
-    return is_text(at("variant")) & _within(F.length(text), rule) & form & (F.lit(True) if rule.options is None else text.isin(*rule.options))
+        known = F.lit(True) if rule.options is None else F.size(F.array_except(as_("array<string>"), F.array(*map(F.lit, rule.options)))) == 0
+        return F.forall(as_("array<variant>"), is_text) & _within(F.size(as_("array<variant>")), rule) & known
+
+    def fits(text: Column) -> Column:
+        form = F.lit(True) if rule.pattern is None else text.rlike(rule.pattern)
+        return _within(F.length(text), rule) & form & (F.lit(True) if rule.options is None else text.isin(*rule.options))
+
+    return is_text(value) & _let(as_("string"), fits)
 
 
 def request_problem(form: Column, args: Column) -> Column:
     """The first field of a request that breaks its form's rules; ``form`` if the form is unknown, ``args`` if they are no JSON object.
 
     NULL when the request is valid. An optional field may be missing but not null. Fields that a form doesn't know are ignored.
+    Arguments may be long, so they are parsed once, and the values of a request are taken apart once.
     """
-    root = F.try_parse_json(args)
-    keys = F.map_keys(F.try_variant_get(root, "$", "map<string,variant>"))
-    broken = lambda rule: F.when(F.array_contains(keys, rule.field), ~F.coalesce(_holds(root, rule), F.lit(False))).otherwise(F.lit(rule.required))
-    first = F
-    for name, fields in FORMS.items():
-        first = first.when(form == name, F.coalesce(F.when(keys.isNull(), "args"), *[F.when(broken(rule), rule.field) for rule in fields]))
-    return first.otherwise("form")
+
+    def problem(values: Column) -> Column:
+        value = lambda rule: F.try_element_at(values, F.lit(rule.field))
+        broken = lambda rule: F.when(F.map_contains_key(values, rule.field), ~F.coalesce(_holds(value(rule), rule), F.lit(False))).otherwise(F.lit(rule.required))
+        first = F
+        for name, fields in FORMS.items():
+            first = first.when(form == name, F.coalesce(F.when(values.isNull(), "args"), *[F.when(broken(rule), rule.field) for rule in fields]))
+        return first.otherwise("form")
+
+    return _let(F.try_variant_get(F.try_parse_json(args), "$", "map<string,variant>"), problem)

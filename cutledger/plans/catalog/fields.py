@@ -175,14 +175,20 @@ _ARGS = [
 ]
 
 
+REQUEST_PARTS = 128  # fixed value: parts of the customers, as the size of their keys says nothing about their texts
+
+
 def request_forms(spark, sf):
     """A request of each form for every customer: ``#`` is the customer's number, ``~`` a text of as many characters."""
     pattern = F.get(F.get(F.array(*[F.array(*map(F.lit, row)) for row in _ARGS]), (F.col("c_custkey") % 6).cast("int")), F.expr("cast(c_custkey div 6 % 5 AS int)"))
     key = F.col("c_custkey").cast("string")
     numbered = F.replace(pattern, F.lit("#"), key)
     # The long text is made only for the requests that hold it.
-    args = F.when(numbered.contains("~"), F.replace(numbered, F.lit("~"), F.repeat(F.lit("k"), F.col("c_custkey").cast("int")))).otherwise(numbered)
-    return T(spark, sf, "customer").select("c_custkey", requests.request_problem(F.expr(_FORM), args).alias("problem"))
+    filled = F.concat(F.substring_index(numbered, "~", 1), F.repeat(F.lit("k"), F.col("c_custkey").cast("int")), F.substring_index(numbered, "~", -1))
+    args = F.when(numbered.contains("~"), filled).otherwise(numbered)
+    # A few files hold all customers, but their requests are long: keys are dealt, and texts are made where they are checked.
+    dealt = T(spark, sf, "customer").select("c_custkey").repartition(REQUEST_PARTS)
+    return dealt.select("c_custkey", requests.request_problem(F.expr(_FORM), args).alias("problem"))
 
 
 def valid_requests(spark, sf):

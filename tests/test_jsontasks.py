@@ -36,6 +36,14 @@ def test_long_text_only_where_a_request_holds_it(spark, tmp_path):
     assert {found[k] for k in found if k % 6 == 2 and k // 6 % 5 == 2} == {"jql"}
 
 
+def test_requests_are_dealt_and_parsed_once(spark, tmp_path):
+    """One file held all customers in one task, which parsed a long request for each of its rules."""
+    spark.range(1, 400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = fields.request_forms(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson(") == 1
+    assert found.rdd.getNumPartitions() > 100
+
+
 def test_parts_of_payloads_stay_small(spark):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "2m"
     assert int(spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 2000
