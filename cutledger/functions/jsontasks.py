@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 import sys
+from functools import cached_property
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -26,6 +28,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Strings (with the colon of a key), brackets and bare values.
 TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+":?|[{}\[\]]|[^\s{}\[\],:"]++')
 EMPTY = {"null", '""'}
+_EMPTY_KIND = {"null": 0, '""': 1}.get
 MOST_PATHS = 20_000  # remembered paths of a field list; they start anew beyond it
 OFTEN = 32  # a layout seen as often is read by a pattern of its own
 MOST_LAYOUTS = 2_000  # remembered layouts of records, and of filled paths in one; they start anew beyond it
@@ -107,35 +110,62 @@ def cut(js: str | None, fields: Fields, clean: bool) -> str | None:
     return out
 
 
-def leaves(js: str | None) -> list[tuple[str, str, str | None]]:
-    """``(path, apath, js)`` of every leaf in order; ``js`` is None for an empty one."""
-    out, above = [], []
-    array, path, apath, inside, key, last = True, "", "", False, None, ""
-    for t in TOKEN.findall(js or "null"):
-        if t[-1] == ":":
-            key, last = t, t
-            continue
-        if t == "}" or t == "]":
-            if last == "{" or last == "[":
-                out.append((path, apath, None))
-            array, path, apath, inside = above.pop()
-            last = t
-            continue
-        if key is None or array:
-            below, upto = path, apath
-        else:
-            name = unquoted(key[:-1])
-            below = f"{path}.{name}" if path else name
-            upto = apath if inside else below
-        last = t
-        if t == "{" or t == "[":
-            # The record itself lies in no array.
-            above.append((array, path, apath, inside))
-            inside = inside or (array and len(above) > 1)
-            array, path, apath, key = t == "[", below, upto, None
-        else:
-            out.append((below, upto, None if t in EMPTY else t))
-    return out
+class Cuts(dict):
+    """``cut`` of records one after the other, by the keys and brackets they share: a layout seen often is cut once for each set of
+    empty values, and other records of it only put their values into that text."""
+
+    last: list | None = None
+
+    def __init__(self, fields: tuple | None, clean: bool):
+        self.fields, self.clean = Fields(fields, clean), clean
+
+    def text(self, js: str | None) -> str | None:
+        if js is None:
+            return None
+        last = self.last
+        if last is not None and (found := last[1].fullmatch(js)):
+            return self.filled(last[2], js, found.groups())
+        tokens = TOKEN.findall(js)
+        marks = "".join([t if t[-1] in MARKS else "\0" for t in tokens])
+        layout = self.get(marks)
+        if layout is None:
+            if len(self) >= MOST_LAYOUTS:
+                self.clear()
+            # Times seen, pattern, and the texts by what is empty.
+            self[marks] = layout = [0, None, {}]
+        layout[0] += 1
+        if layout[0] < OFTEN:
+            return cut(js, self.fields, self.clean)
+        if layout[1] is None:
+            layout[1] = own_pattern(js)
+        self.last = layout
+        return self.filled(layout[2], js, tuple([t for t in tokens if t[-1] not in MARKS]))
+
+    def filled(self, known: dict, js: str, values: tuple) -> str | None:
+        """The cut of a record by its values: only which of them are null or an empty string decides what is kept."""
+        empty = tuple(map(_EMPTY_KIND, values))
+        if empty not in known:
+            if len(known) >= MOST_LAYOUTS:
+                known.clear()
+            known[empty] = self.template(js, empty)
+        made = known[empty]
+        return made and made[0] % made[1](values)
+
+    def template(self, js: str, empty: tuple) -> tuple | None:
+        """The cut with a place for each value, and what picks the values; None when nothing is left."""
+        tokens, i = re.findall(WORD, js), 0
+        for at, (t, after) in enumerate(zip(tokens, [*tokens[1:], ""], strict=True)):
+            if t not in ",:{}[]" and after != ":":
+                tokens[at] = t if empty[i] is not None else f"\1{i}\1"  # JSON text holds no bare control character
+                i += 1
+        text = cut("".join(tokens), self.fields, self.clean)
+        if text is None:
+            return None
+        parts = text.replace("%", "%%").split("\1")
+        places = [int(x) for x in parts[1::2]]
+        parts[1::2] = ["%s"] * len(places)
+        pick = (lambda _: ()) if not places else itemgetter(*places) if len(places) > 1 else lambda values, x=places[0]: (values[x],)
+        return "".join(parts), pick
 
 
 def machine_url(text: str) -> bool:
@@ -186,12 +216,21 @@ class Layout:
     """What all records of the same keys and brackets share: their paths, each with its places among the values."""
 
     def __init__(self, leaves: list[tuple[tuple, str, str, int]]):
-        self.leaves, self.seen, self.pattern, paths = leaves, 0, None, {}
-        for at, path, apath, i in leaves:
+        self.leaves, self.seen, self.pattern = leaves, 0, None
+        self.known: dict[tuple, tuple] = {}
+
+    @cached_property
+    def paths(self) -> list[tuple]:
+        paths = {}
+        for at, path, apath, i in self.leaves:
             first, upto, places = paths.get(path, (at, apath, []))
             paths[path] = min(first, at), min(upto, apath), [*places, i]
-        self.paths = [(path, *x, prefixes(path)) for path, x in paths.items()]
-        self.known: dict[tuple, tuple] = {}
+        return [(path, *x, prefixes(path)) for path, x in paths.items()]
+
+    @cached_property
+    def columns(self) -> tuple[list[str], list[str], list[int]]:
+        """Paths, array-free paths and indexes of the leaves in order."""
+        return [x[1] for x in self.leaves], [x[2] for x in self.leaves], [x[3] for x in self.leaves]
 
     def shape(self, filled: tuple[bool, ...]) -> tuple[set, tuple]:
         """Top-most paths without a value, and the filled paths, of a record whose ``paths`` are filled or not."""
@@ -301,22 +340,12 @@ def profile(payloads: list[list[str] | None], layouts: Layouts) -> tuple | None:
     return leaf, sorted(tops), sorted(shapes) if len(shapes) > 1 else []
 
 
-def _listed(lists: list[list], kind: pa.StructType) -> pa.ListArray:
-    """An Arrow array of lists of tuples."""
-    ends = [0]
-    for rows in lists:
-        ends.append(ends[-1] + len(rows))
-    columns = list(zip(*(row for rows in lists for row in rows))) or [()] * kind.num_fields
-    made = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), made)
-
-
 def cut_text(record: Column, fields: list[str] | None, clean: bool = True) -> Column:
     """``cut`` of a VARIANT column to ``fields``, or to all."""
 
     def each(js: pa.Array) -> pa.Array:
-        known = Fields(None if fields is None else tuple(fields), clean)
-        return pa.array([cut(text, known, clean) for text in js.to_pylist()], pa.string())
+        known = Cuts(None if fields is None else tuple(fields), clean)
+        return pa.array([known.text(text) for text in js.to_pylist()], pa.string())
 
     return F.arrow_udf(each, "string")(F.to_json(record))
 
@@ -325,8 +354,18 @@ def leaf_list(record: Column) -> Column:
     """The leaves of a VARIANT column: ``array<struct<path, apath, js, str>>``."""
 
     def each(js: pa.Array) -> pa.Array:
-        with_text = lambda x: (*x, unquoted(x[2]) if x[2] is not None and x[2][0] == '"' else None)
-        return _listed([[with_text(x) for x in leaves(text)] for text in js.to_pylist()], LEAF)
+        layouts, ends, paths, apaths, values = Layouts(), [0], [], [], []
+        for text in js.to_pylist():
+            layout, found = layouts.read("null" if text is None else text)
+            path, apath, places = layout.columns
+            paths += path
+            apaths += apath
+            values += [found[i] for i in places]
+            ends.append(len(values))
+        values = [None if x in EMPTY else x for x in values]
+        texts = [unquoted(x) if x is not None and x[0] == '"' else None for x in values]
+        rows = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in (paths, apaths, values, texts)], fields=list(LEAF))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return F.arrow_udf(each, _LEAVES)(F.to_json(record))
 

@@ -1,5 +1,6 @@
 """Records walked in Arrow tasks come out as by the nested expressions; settings and inputs that large tables need."""
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
@@ -29,6 +30,40 @@ def test_walked_records_equal_the_expressions(spark):
     assert listed(lv.walked_leaves(df, "id")) == listed(lv.leaf_values(df, "id"))
 
 
+def _counted(monkeypatch, name):
+    """Calls of a function of the module from now on."""
+    real, calls = getattr(jt, name), []
+    monkeypatch.setattr(jt, name, lambda *a: calls.append(a) or real(*a))
+    return calls
+
+
+def test_records_of_one_layout_are_cut_once(spark, monkeypatch):
+    """Each record was walked token by token; now a layout seen often is cut once for each set of empty values."""
+    odd = ['{"a":"100% %s","b":{"c":"x:"}}', '{"a":"%d","b":{"c":""}}', '{"a":"","b":{"c":null}}', '{"a":[1,null,""],"b":{"c":[null,null,"q"]}}', '{"a":["","",null],"b":{"c":["","",null]}}']
+    texts = [r.j for r in spark.createDataFrame([(d,) for d in [d for d in DOCS + LINKS if d] + odd], "t string").select(F.to_json(F.try_parse_json("t")).alias("j")).collect()]
+    for fields, clean in (((), False), (("a",), False), (("a.b", "l", "c"), True), (("a", None), True), (None, True), (("nope",), True), (("b.c", "u"), False)):
+        expected = [jt.cut(x, jt.Fields(fields, clean), clean) for x in texts]
+        made = jt.Cuts(fields, clean)
+        for _ in range(jt.OFTEN + 3):
+            assert [made.text(x) for x in texts] == expected
+        again = jt.Cuts(fields, clean)
+        assert [again.text(x) for x in texts for _ in range(jt.OFTEN + 3)][jt.OFTEN + 2::jt.OFTEN + 3] == expected
+    calls, one = _counted(monkeypatch, "cut"), jt.Cuts(("n",), True)
+    assert [one.text(f'{{"n":{i},"s":"{i}"}}') for i in range(1000)] == [f'{{"n":{i}}}' for i in range(1000)] and len(calls) == jt.OFTEN
+
+
+def test_leaves_of_one_layout_are_found_once(monkeypatch):
+    made = []
+    monkeypatch.setattr(jt.F, "arrow_udf", lambda each, _: lambda column: made.append(each))
+    monkeypatch.setattr(jt.F, "to_json", lambda column: column)
+    jt.leaf_list(None)
+    calls = _counted(monkeypatch, "slots")
+    rows = made[0](pa.array([f'{{"a":{{"b":{i}}},"l":["x",null,[]]}}' for i in range(100)] + [None])).to_pylist()
+    assert len(calls) == 2 and [len(x) for x in rows] == [4] * 100 + [1]
+    leaf = lambda path, apath, js, text: {"path": path, "apath": apath, "js": js, "str": text}
+    assert rows[7] == [leaf("a.b", "a.b", "7", None), leaf("l", "l", '"x"', "x"), leaf("l", "l", None, None), leaf("l", "l", None, None)]
+
+
 def test_long_text_only_where_a_request_holds_it(spark, tmp_path):
     """Two of thirty argument patterns hold a text as long as the customer's number; a text for all would take 30 GB here."""
     spark.range(2_000_000, 2_015_000).select(F.col("id").alias("c_custkey")).where("id % 6 NOT IN (2, 3) OR id div 6 % 5 <> 2 OR id < 2000060").write.parquet(f"{tmp_path}/customer.parquet")
