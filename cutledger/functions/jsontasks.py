@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 import sys
+from collections import Counter
+from decimal import Decimal
 from functools import cached_property
 from operator import itemgetter
 
@@ -340,6 +342,94 @@ def profile(payloads: list[list[str] | None], layouts: Layouts) -> tuple | None:
     return leaf, sorted(tops), sorted(shapes) if len(shapes) > 1 else []
 
 
+def _number(text: str) -> Decimal:
+    """A number as a VARIANT keeps it: integers exactly, fractions and very long ones to the precision of a double."""
+    exact = Decimal(text)
+    return exact if exact.as_tuple().exponent == 0 and len(exact.as_tuple().digits) <= 38 else Decimal(repr(float(text)))
+
+
+def _decoder() -> json.JSONDecoder:
+    return json.JSONDecoder(parse_float=_number, parse_int=_number)
+
+
+SAME = "# same in every record: "  # as in ``render``, which tasks can't import
+
+
+def _filled(node, path: str | None = None) -> list[tuple[str, bool, object]]:
+    """``(path, whether it is a boolean, value)`` of every value of a parsed record that isn't empty."""
+    if isinstance(node, dict):
+        return [x for k, v in node.items() for x in _filled(v, k if path is None else f"{path}.{k}")]
+    if isinstance(node, list):
+        return [x for v in node for x in _filled(v, path)]
+    return [] if node is None or node == "" else [(path, isinstance(node, bool), node)]
+
+
+def _same_values(line: str, hoisted: list[str], parsed: json.JSONDecoder) -> dict[str, list]:
+    """The values that a note declares as the same in every record, by path; an error if it names others."""
+    at, found = len(SAME), {}
+    for i, path in enumerate(hoisted):
+        start = f"{' · ' if i else ''}{path}="
+        if not line.startswith(start, at):
+            raise ValueError(path)
+        value, at = parsed.raw_decode(line, at + len(start))
+        found[path] = [x[1:] for x in _filled(value)]
+    if at != len(line):
+        raise ValueError(line)
+    return found
+
+
+def page_differs(records: list, aliases: dict, row_fields: list[str] | None, hoisted: list[str], page: dict, parsed: json.JSONDecoder) -> bool:
+    """Whether a page shows anything that its records don't hold, or leaves a value of its fields out."""
+    if page["fallback"]:
+        return False
+    lines, cap = page["text"].split("\n"), page["cut_cap"]
+
+    def shown(value: tuple) -> tuple:
+        path, _, text = value
+        if isinstance(text, str):
+            text = aliases.get(text, text)
+            text = text if cap is None or len(text) <= cap else text[:cap] + "…"
+        return path, value[1], text
+
+    covers = (lambda path: True) if row_fields is None else (lambda path: any(path == f or path.startswith(f + ".") for f in row_fields))
+    try:
+        rows = [_filled(parsed.decode(x)) for x in lines if not x.startswith("#")]
+        notes = [x for x in lines if x.startswith(SAME)]
+        same = _same_values(notes[0], hoisted, parsed) if notes else {}
+    except ValueError:
+        return True
+    source = records[page["start"]:page["start"] + page["shown"]]
+    if len(rows) != len(source) or len(notes) != bool(hoisted):
+        return True
+    known: dict[str, bool] = {}
+    for row, record in zip(rows, source, strict=True):
+        for path, _, _ in record:
+            if path not in known:
+                known[path] = covers(path)
+        if Counter(row) != Counter(shown(x) for x in record if known[x[0]]):
+            return True
+    return any([x[1:] for x in record if x[0] == path] != values for path, values in same.items() for record in records)
+
+
+def differs_from_source(text: Column, path: Column, aliases: Column, row_fields: Column, hoisted: Column, pages: Column) -> Column:
+    """``page_differs`` for each page of a payload, whose records lie in ``text`` below the keys ``path``; false for a missing page."""
+
+    def records(js: str, keys: list[str], parsed: json.JSONDecoder) -> list:
+        node = parsed.decode(js)
+        for key in keys:
+            node = node[key]
+        return [_filled(x) for x in node]
+
+    def each(text: pa.Array, path: pa.Array, aliases: pa.Array, row_fields: pa.Array, hoisted: pa.Array, pages: pa.Array) -> pa.Array:
+        out, parsed = [], _decoder()
+        for js, keys, names, fields, same, two in zip(*(c.to_pylist() for c in (text, path, aliases, row_fields, hoisted, pages)), strict=True):
+            source = records(js, keys, parsed)
+            out.append([page is not None and page_differs(source, dict(names or ()), fields, same, page, parsed) for page in two])
+        return pa.array(out, pa.list_(pa.bool_()))
+
+    return F.arrow_udf(each, "array<boolean>")(text, path, aliases, row_fields, hoisted, pages)
+
+
 def cut_text(record: Column, fields: list[str] | None, clean: bool = True) -> Column:
     """``cut`` of a VARIANT column to ``fields``, or to all."""
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cutledger.functions import jsontasks
+
 TITLE_CHARS = 40  # fixed value: titles are compared on their first characters
 LABEL_RECORDS = (2, 6)  # fixed value: a task label is on this many records
 # Words a body may mention (fixed values).
@@ -220,7 +222,12 @@ def wrong_answers(runs: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def audit(shaped: DataFrame) -> DataFrame:
-    """``(payload_id, broken ARRAY<string>)``: the rules a shaped payload breaks, ideally none."""
+    """``(payload_id, broken ARRAY<string>)``: the rules a shaped payload breaks, ideally none.
+
+    Rules over the text need nothing else. Rows of ``shape.audited_payloads`` also carry the source and the page that the hint leads
+    to: then every value shown, in rows and as the same in every record, is parsed back and compared with the source's, both ways,
+    and the hint must name the first record not shown and lead to a page that shows it.
+    """
     body = F.filter(F.split("text", "\n"), lambda x: ~F.startswith(x, F.lit("#")))
     cut = F.col("records") - F.col("start") - F.col("shown")
     rules = {
@@ -230,5 +237,17 @@ def audit(shaped: DataFrame) -> DataFrame:
         "cut_not_declared": ~F.col("fallback") & (cut > 0) & ~F.col("text").contains(F.concat(F.lit("# "), cut, F.lit(" records not shown"))),
         "cap_not_smaller": F.coalesce(F.col("cut_cap") >= F.col("longest"), F.lit(False)),
     }
+    done = shaped.where("passthrough IS NULL")
+    if "source" in shaped.columns:
+        aliases = F.col("source.aliases") if "aliases" in shaped.schema["source"].dataType.names else F.lit(None).cast("map<string,string>")
+        page = lambda at: F.struct(*(at(c) for c in ("text", "start", "shown", "fallback", "cut_cap")))
+        differs = jsontasks.differs_from_source(
+            F.col("source.text"), F.col("source.path"), aliases, F.col("row_fields"), F.col("hoisted"),
+            F.array(page(F.col), F.when(F.col("after").isNotNull(), page(lambda c: F.col(f"after.{c}")))))
+        end = F.col("start") + F.col("shown")
+        leads = (F.col("asked") == end) & (F.col("after.start") == end) & (F.col("after.fallback") | (F.col("after.shown") > 0)) & ~F.get("_differs", F.lit(1))
+        named = F.col("hint").contains("{next}") & ~F.col("fallback") & (cut > 0)
+        done = done.withColumn("_differs", differs)
+        rules |= {"value_not_source": F.get("_differs", F.lit(0)), "hint_broken": F.coalesce(named, F.lit(False)) & ~F.coalesce(leads, F.lit(False))}
     broken = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
-    return shaped.where("passthrough IS NULL").select("payload_id", broken.alias("broken"))
+    return done.select("payload_id", broken.alias("broken"))

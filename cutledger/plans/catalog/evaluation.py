@@ -137,7 +137,7 @@ def wrong_answers(spark, sf):
 
 
 def audit_violations(spark, sf):
-    s = sh.shape_payloads(views.order_payloads(spark, sf), fields="auto", max_tokens=400, hint="offset={next}")
+    s = sh.audited_payloads(views.order_payloads(spark, sf), fields="auto", max_tokens=400, hint="offset={next}")
     return ev.audit(s).agg(F.count(F.lit(1)).alias("payloads"), F.sum(F.size("broken")).alias("violations"))
 
 

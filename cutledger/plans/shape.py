@@ -111,12 +111,45 @@ def shape_payloads(payloads: DataFrame, use_counts: bool | None = None, **option
     return _fit(decided(payloads, use_counts, **options))
 
 
-def decided(payloads: DataFrame, use_counts: bool, beside: DataFrame | None = None, **options) -> DataFrame:
+def audited_payloads(payloads: DataFrame, use_counts: bool | None = None, **options) -> DataFrame:
+    """``shape_payloads`` with what ``evaluation.audit`` checks a text against, from where the payload lies.
+
+    Adds ``source`` (``text``, ``path`` of the record list, ``aliases``), ``hint``, ``asked`` (the offset that the hint in the text names)
+    and ``after``: the page that the payload gives at that offset. Only the rows shown depend on an offset, so that page is fitted
+    from the same decisions; rows already rendered are fitted again.
+    """
+    use_counts = bool(options.get("counts")) if use_counts is None else use_counts
+    plan = decided(payloads, use_counts, paths=True, **options)
+    rows = _rows(plan, pages=2)
+    held = [c for c in rows.columns if c != KEY]
+    first = fit_lines(rows.withColumn("_plan", F.struct(*held)), "_plan")
+    page = [c for c in first.columns if c not in (KEY, "_plan")]
+    form = "concat('(?m)^# [0-9]+ records not shown · \\\\Q', replace(_plan.hint, '{next}', '\\\\E([0-9]+)\\\\Q'), '\\\\E$')"
+    asked = F.expr(f"CASE WHEN passthrough IS NULL AND contains(_plan.hint, '{{next}}') THEN try_cast(regexp_extract(text, {form}, 1) AS bigint) END")
+    # A hint that doesn't name the first record not shown is wrong, so its page isn't needed.
+    leads = F.when(F.col("asked") == F.col("start") + F.col("shown"), F.col("shown").cast("int"))
+    again = first.withColumn("asked", asked).select(
+        KEY, F.struct(*page, "asked").alias("_page"), leads.alias("_skip"), *(F.col(f"_plan.{c}").alias(c) for c in held if c != "start"),
+        F.coalesce(F.col("start") + leads, "_plan.n_total").alias("start"))
+    again = again.withColumns({c: F.coalesce(F.slice(c, F.col("_skip") + 1, F.size(c)), F.expr(fl.NO_PATHS)) for c in ("plain", "lines") if c in held})
+    aliased = "aliases" in held
+    if aliased:
+        again = again.withColumn("aliased", F.expr(_ALIASED))
+    source = F.struct("text", F.col("o_record_path").alias("path"), *(["aliases"] if aliased else []))
+    followed = fit_lines(again.withColumns({"source": source, "o_hint": F.col("hint")}), "_page", "_skip", "o_hint", "source")
+    after = F.when(F.col("_skip").isNotNull(), F.struct("start", "shown", "fallback", "cut_cap", "text"))
+    return followed.select(KEY, "_page.*", "source", F.col("o_hint").alias("hint"), after.alias("after"))
+
+
+def decided(payloads: DataFrame, use_counts: bool, beside: DataFrame | None = None, paths: bool = False, **options) -> DataFrame:
     """One row per payload with its fields, notes and options decided, before any row is rendered.
 
-    ``beside`` has one row per payload id and columns named ``o_...``, which come along from where the payloads lie.
+    ``beside`` has one row per payload id and columns named ``o_...``, which come along from where the payloads lie; with ``paths``
+    the keys above the record list come along as ``o_record_path``.
     """
     placed = discover(payloads)
+    if paths:
+        placed = placed.withColumn("o_record_path", F.col("record_path"))
     if beside is not None:
         placed = placed.join(beside, KEY, "left")
     # Options are added after the shuffle, so that counts reuse the same one.
@@ -137,20 +170,25 @@ def field_decisions(payloads: DataFrame, **options) -> DataFrame:
     return fl.decide_fields(with_options(plan, **options))
 
 
-def _rows(plan: DataFrame) -> DataFrame:
-    """Add ``lines``: the rendered rows that could fit, from ``start`` on.
+_REACH = f"CASE WHEN o_budget IS NULL THEN n_total ELSE o_budget div {MIN_ROW_COST} + 1 END"
+
+
+# How many values of the rendered rows that could fit are short ids.
+_MARKS = "aggregate(transform(slice({c}, 1, cast({reach} AS int)), l -> regexp_count(l, '\"@[0-9]+\"')), 0, (a, x) -> a + x)"
+_ALIASED = f"cast({_MARKS.format(c='lines', reach=_REACH)} - {_MARKS.format(c='plain', reach=_REACH)} AS bigint)"
+
+
+def _rows(plan: DataFrame, pages: int = 1) -> DataFrame:
+    """Add ``lines``: the rendered rows that could fit, from ``start`` on, for as many pages in a row.
 
     A row costs at least MIN_ROW_COST, so rows past ``budget / MIN_ROW_COST`` cannot fit and
     are never rendered.
     """
-    reach = f"CASE WHEN o_budget IS NULL THEN n_total ELSE o_budget div {MIN_ROW_COST} + 1 END"
-    window = f"slice(record_list, cast(start AS int) + 1, cast(least(n_total, {reach}) AS int))"
+    window = f"slice(record_list, cast(start AS int) + 1, cast(least(n_total, {pages} * ({_REACH})) AS int))"
     line = lambda aliases: f"transform({window}, r -> coalesce({jw.text('r', 'row_fields', aliases)}, '{{}}'))"
     if "aliases" not in plan.columns:
         return plan.withColumns({"lines": F.expr(line(None)), "aliased": F.lit(0).cast("long")})
-    mark = "aggregate(transform({c}, l -> regexp_count(l, '\"@[0-9]+\"')), 0, (a, x) -> a + x)"
-    return plan.withColumns({"plain": F.expr(line(None)), "lines": F.expr(line("aliases"))}).withColumn(
-        "aliased", F.expr(f"cast({mark.format(c='lines')} - {mark.format(c='plain')} AS bigint)"))
+    return plan.withColumns({"plain": F.expr(line(None)), "lines": F.expr(line("aliases"))}).withColumn("aliased", F.expr(_ALIASED))
 
 
 def _cost(c: str) -> str:
